@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import mixing, simhash
+from rowloom.llm import discriminant, mixing, pieces, rules, simhash
 from rowloom.llm.common import tables
 
 
+def piece_model() -> str:
+    """The vocabulary file of the merge-type tokenizer, which every executor has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Ids of the documents that labels call good."""
+    return labels.where("quality = 1").select("doc_id")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return pieces.tokenize(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return rules.quality_rules(docs, trusted_documents(labels))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return discriminant.classify(docs, labels)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -20,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op9_mixing, op10_simhash)}
 
 OP9_SQL = r"""
 WITH sized AS (
