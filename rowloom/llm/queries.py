@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import discriminant, mixing, pieces, rules, simhash
+from rowloom.llm import discriminant, mixing, pieces, rules, simhash, substrings
 from rowloom.llm.common import tables
 
 
@@ -36,6 +36,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.classify(docs, labels)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return substrings.substring_dedup(docs)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -47,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op7_substring_dedup, op9_mixing, op10_simhash)}
 
 OP9_SQL = r"""
 WITH sized AS (
@@ -81,4 +86,18 @@ SELECT doc_id, size, source_size, target,
 FROM runs
 """
 
-ORACLE_SQL = {"op9_mixing": OP9_SQL}
+OP7_SQL = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, row_number() OVER () AS r FROM documents),
+windows AS (
+  SELECT r, s, md5(array_to_string(w[s:s + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 33))) AS s FROM split)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, s + j AS i FROM windows JOIN again USING (h), (SELECT unnest(range(35)) AS j)),
+lists AS (SELECT r, list(i) AS l FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(l), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN l IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(l, i)) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN lists USING (r)
+"""
+
+ORACLE_SQL = {"op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL}

@@ -169,3 +169,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = labelled.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "f_component")
     ids = labelled.join(firsts, F.col("component") == F.col("f_component")).select("l_fp", "component_id")
     return prints.join(ids, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` whose id is their class's component_id: one document of each class of near copies.
+
+    Of rows that repeat such an id one stays. Rows with a null id stay only as one row if all of their class are so.
+    """
+    found = cut(near_duplicates(docs, doc_id, text, bits))
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = docs.join(ids, F.col(doc_id).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([doc_id]) if again else kept
