@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import discriminant, mixing, pieces, rules, simhash, substrings
+from rowloom.llm import discriminant, html, mixing, pieces, rules, simhash, substrings, urls
 from rowloom.llm.common import tables
 
 
@@ -36,6 +36,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.classify(docs, labels)
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = tables(spark, sf_dir, "pages")
+    listed = spark.createDataFrame([(k,) for k in urls.LISTED], "key string")
+    return urls.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = tables(spark, sf_dir, "pages")
+    return html.extract_pages(pages, html.fit(pages))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return substrings.substring_dedup(docs)
@@ -52,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op7_substring_dedup, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op5_url_filters, op6_html_extraction, op7_substring_dedup, op9_mixing, op10_simhash)}
 
 OP9_SQL = r"""
 WITH sized AS (
@@ -86,6 +97,22 @@ SELECT doc_id, size, source_size, target,
 FROM runs
 """
 
+OP5_SQL = r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
+                                ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) r(d, p, rule, verdict)),
+fits AS (
+  SELECT page_id, host, path, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict
+  FROM parts LEFT JOIN rules ON (host = d OR ends_with(host, '.' || d)) AND starts_with(path, p)
+  GROUP BY ALL)
+SELECT parts.page_id, parts.host, parts.path, fits.rule,
+       coalesce(fits.verdict, CASE WHEN regexp_matches(parts.host, '^(.*\.)?(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts JOIN fits ON parts.page_id = fits.page_id AND parts.host = fits.host AND parts.path = fits.path
+"""
+
 OP7_SQL = r"""
 WITH split AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, row_number() OVER () AS r FROM documents),
@@ -100,4 +127,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(l), 0) AS BI
 FROM split LEFT JOIN lists USING (r)
 """
 
-ORACLE_SQL = {"op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op5_url_filters": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
