@@ -43,7 +43,7 @@ BOILERPLATE = re.compile(
     re.I,
 )
 _COMMENT = re.compile(r"(?:^|\s)comment", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _KNOWN = BLOCKS | VOID | INLINE
 
@@ -64,7 +64,8 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
             elif not skipped:
                 out.append(("t", f"{block}\t ", 0))
 
-    while m := _TAG.search(html, at):
+    last = html.rfind(">")
+    while at <= last and (m := _TAG.search(html, at)):
         text(m.start())
         at = m.end()
         name = m[2] or m[5]
@@ -102,6 +103,8 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
                     blocks.pop()
                 blocks.append(name)
                 block = name
+    if last >= 0 and (m := re.compile(r"<!--", re.S).search(html, at)):  # an open comment hides the rest
+        html = html[: m.start()]
     text(len(html))
     return out
 
@@ -147,6 +150,16 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def whole_blocks(found: list[tuple[str, str, int]], start: int, end: int) -> tuple[int, int]:
+    """A run widened to the tags of blocks around it, so that no block is cut."""
+    edge = lambda t: t[0] == "-" or t[0] != "t" and t[1] in BLOCKS
+    while 0 < start < end and not edge(found[start - 1]):
+        start -= 1
+    while start < end < len(found) and not edge(found[end]):
+        end += 1
+    return start, end
+
+
 def extract(html: str | None, weight: dict[tuple[str, str], float]) -> str:
     """The main text of a page: its blocks joined by line ends."""
     if not html:
@@ -158,7 +171,7 @@ def extract(html: str | None, weight: dict[tuple[str, str], float]) -> str:
             scores.append(n * weight.get(("word", value.partition("\t")[0]), UNKNOWN_WORD))
         else:
             scores.append(0.0 if kind == "-" else weight.get(("tag", _name(value)), -1.0))
-    start, end = best_run(scores)
+    start, end = whole_blocks(found, *best_run(scores))
     blocks, current = [], []
     for kind, value, _ in found[start:end]:
         if kind == "t":

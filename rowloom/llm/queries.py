@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import discriminant, html, mixing, pieces, rules, simhash, substrings, urls
+from rowloom.llm import discriminant, html, mixing, pieces, rules, simhash, substrings, urls, vectors
 from rowloom.llm.common import tables
 
 
@@ -52,6 +52,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(docs)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (rows,) = tables(spark, sf_dir, "embeddings")
+    return vectors.near_duplicates(rows)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -63,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op5_url_filters, op6_html_extraction, op7_substring_dedup, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op5_url_filters, op6_html_extraction, op7_substring_dedup, op8_embedding_dedup, op9_mixing, op10_simhash)}
 
 OP9_SQL = r"""
 WITH sized AS (
@@ -127,4 +132,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(l), 0) AS BI
 FROM split LEFT JOIN lists USING (r)
 """
 
-ORACLE_SQL = {"op5_url_filters": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+OP8_SQL = """
+WITH RECURSIVE units AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM units UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM units JOIN lowest ON vec_id = lowest.a LEFT JOIN counts ON vec_id = counts.a
+"""
+
+ORACLE_SQL = {"op5_url_filters": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
