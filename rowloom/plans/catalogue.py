@@ -1,10 +1,328 @@
-"""Registered queries of the stream engine and their DuckDB equivalents."""
+"""Registered queries of the stream engine over the driver's tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rowloom.client import Client
+from rowloom.plans.domain import SliceArgs
+from rowloom.sources.catalog import FrameStream, StreamBatch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, sf_dir: str, column: str = "value") -> tuple[Client, Any]:
+    """A client, and the events as one stream."""
+    client = Client(spark)
+    return client, client.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", column)])
+
+
+def plain(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(columns or ("row_id", "value")))
+
+
+@query("SELECT event_id AS row_id, value FROM events")
+def sample_all(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.All(e)))
+
+
+@query("SELECT event_id // 4 AS row_id, value FROM events WHERE event_id % 4 = 0")
+def sample_stride(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Stride(e, [4])))
+
+
+@query("SELECT event_id - 100 AS row_id, value FROM events WHERE event_id >= 100 AND event_id < 300")
+def sample_range(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Range(e, [(100, 300)])))
+
+
+@query("SELECT r.off + e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (0,10,0),(100,150,10)) r(a,b,off) ON e.event_id >= r.a AND e.event_id < r.b")
+def sample_ranges(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Ranges(e, [[(0, 10), (100, 150)]])))
+
+
+@query("SELECT (event_id - 20) // 5 AS row_id, value FROM events WHERE event_id >= 20 AND event_id < 220 AND (event_id - 20) % 5 = 0")
+def sample_strided_range(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.StridedRange(e, [(20, 220, 5)])))
+
+
+@query("SELECT r.off + (e.event_id - r.a) // 3 AS row_id, e.value FROM events e JOIN (VALUES (0,10,0),(50,60,4)) r(a,b,off) ON e.event_id >= r.a AND e.event_id < r.b AND (e.event_id - r.a) % 3 = 0")
+def sample_strided_ranges(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.StridedRanges(e, [[(0, 10), (50, 60)]], 3)))
+
+
+@query("SELECT CAST(g.pos AS BIGINT) AS row_id, e.value FROM events e JOIN (VALUES (0,0),(1,150),(2,377),(3,500),(4,150)) g(pos,rid) ON e.event_id = g.rid")
+def sample_gather(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Gather(e, [[0, 150, 377, 500, 150]])))
+
+
+@query("SELECT event_id * 3 + j AS row_id, value FROM events, (SELECT unnest(range(3)) AS j)")
+def space_repeat(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Repeat(e, [3])))
+
+
+@query("SELECT event_id * 3 + j AS row_id, CASE WHEN j = 0 THEN value END AS value FROM events, (SELECT unnest(range(3)) AS j)")
+def space_null(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.RepeatNull(e, [3])))
+
+
+@query("SELECT (event_id // 4 - 10) * 2 + j AS row_id, value FROM events, (SELECT unnest(range(2)) AS j) WHERE event_id % 4 = 0 AND event_id // 4 >= 10 AND event_id // 4 < 100")
+def sample_chain(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Repeat(c.streams.Range(c.streams.Stride(e, [4]), [(10, 100)]), [2])))
+
+
+@query("SELECT event_id // 50 AS slice_id, event_id % 50 AS row_id, value FROM events")
+def slice_all(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Slice(e, [c.partitioner.all(50)])), "slice_id", "row_id", "value")
+
+
+@query("SELECT (event_id // 2) // 50 AS slice_id, (event_id // 2) % 50 AS row_id, value FROM events WHERE event_id % 2 = 0")
+def slice_strided(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Slice(e, [c.partitioner.strided(2, 50)])), "slice_id", "row_id", "value")
+
+
+@query("SELECT CAST(r.g AS BIGINT) AS slice_id, e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (0,0,15),(1,5,25),(2,15,35)) r(g,a,b) ON e.event_id >= r.a AND e.event_id < r.b")
+def slice_ranges_overlap(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Slice(e, [c.partitioner.ranges([(0, 15), (5, 25), (15, 35)])])), "slice_id", "row_id", "value")
+
+
+@query("SELECT CAST(r.g AS BIGINT) AS slice_id, (e.event_id - r.a) // 4 AS row_id, e.value FROM events e JOIN (VALUES (0,0,15),(1,100,200)) r(g,a,b) ON e.event_id >= r.a AND e.event_id < r.b AND (e.event_id - r.a) % 4 = 0")
+def slice_strided_ranges(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Slice(e, [c.partitioner.strided_ranges([(0, 15), (100, 200)], 4)])), "slice_id", "row_id", "value")
+
+
+@query("SELECT CAST(p.g AS BIGINT) AS slice_id, CAST(p.pos AS BIGINT) AS row_id, e.value FROM events e JOIN (VALUES (0,0,1),(0,1,7),(1,0,3)) p(g,pos,rid) ON e.event_id = p.rid")
+def slice_gather(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Slice(e, [c.partitioner.gather([[1, 7], [3]])])), "slice_id", "row_id", "value")
+
+
+@query("SELECT r.off + e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (0,10,0),(5,20,10),(20,30,25)) r(a,b,off) ON e.event_id >= r.a AND e.event_id < r.b")
+def unslice_concat(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Unslice(c.streams.Slice(e, [c.partitioner.ranges([(0, 10), (5, 20), (20, 30)])]))))
+
+
+@query("SELECT event_id AS row_id, value FROM events")
+def unslice_all(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Unslice(c.streams.Slice(e, [c.partitioner.all(50)]))))
+
+
+@query("SELECT r.off + e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (0,10,0),(5,15,10),(15,25,20)) r(a,b,off) ON e.event_id >= r.a AND e.event_id < r.b")
+def slice_args(spark, sf_dir):
+    """Overlapping slices, each sampled by a range of its own."""
+    c, e = events(spark, sf_dir)
+    cut = c.streams.Slice(e, [c.partitioner.ranges([(0, 15), (5, 25), (15, 35)])])
+    return plain(c.frame(c.streams.Unslice(c.streams.Range(cut, [SliceArgs([(0, 10), (0, 10), (0, 10)])]))))
+
+
+@query("SELECT event_id AS row_id, coalesce(lag(value) OVER w, value) AS prev_value, value, coalesce(lead(value) OVER w, value) AS next_value FROM events WINDOW w AS (ORDER BY event_id)")
+def stencil_repeat_edge(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    df = c.frame(c.ops.Neighbours(value=e), "n")
+    return df.select("row_id", F.col("n")[0].alias("prev_value"), F.col("n")[1].alias("value"), F.col("n")[2].alias("next_value"))
+
+
+@query("SELECT event_id AS row_id, greatest(value, lag(value, 2, first) OVER w) AS value FROM (SELECT event_id, value, first_value(value) OVER (ORDER BY event_id) AS first FROM events) WINDOW w AS (ORDER BY event_id)")
+def stencil_chunked(spark, sf_dir):
+    """A window two rows back, with the stream cut into chunks that carry copies of their neighbours' rows."""
+    from rowloom.plans.lower import Performance
+
+    c, e = events(spark, sf_dir)
+    df = c.frame(c.ops.Neighbours(value=e, stencil=[-2, 0]), "n", Performance(chunk_rows=128))
+    return df.select("row_id", F.array_max("n").alias("value"))
+
+
+@query("SELECT event_id // 4 AS row_id, coalesce(lead(value) OVER (ORDER BY event_id), value) AS next_value FROM events WHERE event_id % 4 = 0")
+def stencil_after_stride(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    df = c.frame(c.ops.Neighbours(value=c.streams.Stride(e, [4]), stencil=[1]), "n")
+    return df.select("row_id", F.col("n")[0].alias("next_value"))
+
+
+@query("SELECT event_id AS row_id, coalesce(lag(value) OVER (PARTITION BY event_id // 50 ORDER BY event_id), value) AS prev_value FROM events")
+def stencil_in_slice(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    cut = c.streams.Slice(e, [c.partitioner.all(50)])
+    return c.frame(c.streams.Unslice(c.ops.Neighbours(value=cut, stencil=[-1])), "n").select("row_id", F.col("n")[0].alias("prev_value"))
+
+
+@query("SELECT event_id - 500 AS row_id, value - lag(value, 1) OVER (ORDER BY event_id) AS value FROM events WHERE event_id >= 499 AND event_id < 510 QUALIFY event_id >= 500")
+def stencil_pushdown(spark, sf_dir):
+    """A range after a stencil: the scan reads the range and one row before it."""
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Range(c.ops.Difference(value=e), [(500, 510)])))
+
+
+@query("WITH want(r) AS (VALUES (0),(10),(25),(26),(27)), need AS (SELECT DISTINCT e.event_id AS r FROM events e, want w WHERE e.event_id BETWEEN w.r - 3 AND w.r), isl AS (SELECT r, r - row_number() OVER (ORDER BY r) AS g FROM need), cnt AS (SELECT r, row_number() OVER (PARTITION BY g ORDER BY r) - 1 AS v FROM isl) SELECT row_number() OVER (ORDER BY r) - 1 AS row_id, v AS value FROM cnt WHERE r IN (SELECT r FROM want)")
+def bounded_state_counter(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Gather(c.ops.CounterBounded(ignore=e, bounded_state=3), [[0, 10, 25, 26, 27]])))
+
+
+@query("SELECT event_id AS row_id, event_id % 50 AS value FROM events")
+def unbounded_running_count(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    cut = c.streams.Slice(e, [c.partitioner.all(50)])
+    return plain(c.frame(c.streams.Unslice(c.ops.CounterUnbounded(ignore=cut))))
+
+
+@query("SELECT event_id AS row_id, CAST(round(sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) AS BIGINT) AS cents FROM events")
+def bounded_moving_sum(spark, sf_dir):
+    """A trailing window of six rows: a stencil whose rows before the first count as nothing."""
+    c, e = events(spark, sf_dir)
+    df = c.frame(c.ops.Neighbours(value=e, stencil=[-5, -4, -3, -2, -1, 0]), "n")
+    inside = F.slice("n", F.greatest(F.lit(1), 6 - F.col("row_id").cast("int")), 6)
+    return df.select("row_id", F.aggregate(inside, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 100).cast("long")).alias("cents"))
+
+
+def by_user(spark: SparkSession, sf_dir: str) -> tuple[StreamBatch, DataFrame]:
+    """The events of each user as a stream; streams are numbered by user id. Users with a row id are the batch."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    users = e.select("user_id").distinct().withColumn("stream_id", F.row_number().over(Window.orderBy("user_id")) - 1)
+    ranked = e.select("user_id", "value", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("row_id"))
+    return StreamBatch(ranked.join(users, "user_id"), "stream_id", "row_id", ["value"]), users
+
+
+@query("SELECT user_id AS stream_id, row_id // (1 + user_id % 3) AS row_id, value FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_id FROM events) WHERE row_id % (1 + user_id % 3) = 0")
+def batch_streams_args(spark, sf_dir):
+    """A stride of its own for each of many streams."""
+    c = Client(spark)
+    batch, users = by_user(spark, sf_dir)
+    strides = [1 + r["user_id"] % 3 for r in users.orderBy("stream_id").select("user_id").collect()]
+    df = c.frame(c.streams.Stride(c.io.Input(batch), strides))
+    return df.join(users, "stream_id").select(F.col("user_id").alias("stream_id"), "row_id", "value")
+
+
+@query("SELECT a.event_id AS row_id, a.value + b.o_totalprice AS value FROM events a JOIN orders b ON a.event_id = b.o_orderkey WHERE a.event_id < 1000")
+def zip_streams(spark, sf_dir):
+    """Two sources of equal length, joined by position."""
+    c, e = events(spark, sf_dir)
+    orders = c.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_totalprice")])
+    return plain(c.frame(c.ops.Sum(c.streams.Range(e, [(0, 1000)]), c.streams.Range(orders, [(0, 1000)]))))
+
+
+@query("SELECT vec_id AS row_id, b AS bin, count(*) FILTER (WHERE least(15, greatest(0, CAST(floor((x + 1) * 8) AS INT))) = b) AS n FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), (SELECT unnest(range(16)) AS b) GROUP BY vec_id, b")
+def frame_histogram(spark, sf_dir):
+    c, v = vectors(spark, sf_dir)
+    return c.frame(c.ops.VectorHistogram(vector=v)).select("row_id", F.posexplode("value").alias("bin", "n")).select("row_id", F.col("bin").cast("long"), F.col("n").cast("long"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[Client, Any]:
+    c = Client(spark)
+    return c, c.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")])
+
+
+@query("SELECT vec_id AS row_id, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high FROM embeddings")
+def multi_output(spark, sf_dir):
+    c, v = vectors(spark, sf_dir)
+    low, high, _ = c.ops.Statistics(vector=v)
+    both = c.lower([low.node])
+    family = both.families[low.node.id]
+    return family.df.select("row_id", F.col(low.column).alias("low"), F.col(high.column).alias("high"))
+
+
+@query("SELECT doc_id AS row_id, concat_ws('/', lang, source, lang) AS value FROM documents")
+def variadic(spark, sf_dir):
+    c = Client(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lang, source = c.io.columns(StreamBatch(docs.withColumn("s", F.lit(0)), "s", "doc_id", ["lang", "source"], [docs.count()]))
+    return plain(c.frame(c.ops.Concat(lang, source, lang, args={"separator": "/"})))
+
+
+@query("SELECT vec_id AS row_id, len(embedding) * 3 AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def clone_channels(spark, sf_dir):
+    c, v = vectors(spark, sf_dir)
+    df = c.frame(c.ops.CloneChannels(vector=v, times=3))
+    return df.select("row_id", F.size("value").cast("long").alias("n"), F.col("value")[64].cast("double").alias("first"))
+
+
+@query("SELECT conv_id AS stream_id, turn AS row_id, role, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), role) AS next_role FROM conversations")
+def conversation_pairs(spark, sf_dir):
+    c = Client(spark)
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    df = c.frame(c.ops.Neighbours(value=c.io.Input(StreamBatch(talk, "conv_id", "turn", ["role"])), stencil=[0, 1]), "n")
+    return df.select(F.col("stream_id").cast("long"), "row_id", F.col("n")[0].alias("role"), F.col("n")[1].alias("next_role"))
+
+
+@query("SELECT event_id * 2 + j AS row_id, CASE WHEN j = 0 THEN value + value END AS value FROM events, (SELECT unnest(range(2)) AS j)")
+def null_propagation(spark, sf_dir):
+    c, e = events(spark, sf_dir)
+    spaced = c.streams.RepeatNull(e, [2])
+    return plain(c.frame(c.ops.Sum(spaced, spaced)))
+
+
+@query("SELECT vec_id AS row_id, CAST(0 AS DOUBLE) AS border, (CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) + CAST(embedding[3] AS DOUBLE)) / 3 AS second FROM embeddings")
+def sliding_mean(spark, sf_dir):
+    c, v = vectors(spark, sf_dir)
+    df = c.frame(c.ops.SlidingMean(vector=c.ops.Widen(vector=v), width=3))
+    return df.select("row_id", F.col("value")[0].alias("border"), F.col("value")[1].alias("second"))
+
+
+WINDOW_ROWS, SIGMAS = 50, 2
+
+
+@query("""
+WITH bins AS (SELECT vec_id, least(15, greatest(0, CAST(floor((x + 1) * 8) AS INT))) AS b
+              FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)),
+grid AS (SELECT v.vec_id, g.b, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT vec_id FROM bins) v
+         CROSS JOIN (SELECT unnest(range(16)) AS b) g
+         LEFT JOIN (SELECT vec_id, b, count(*) AS n FROM bins GROUP BY ALL) c ON c.vec_id = v.vec_id AND c.b = g.b),
+lagged AS (SELECT vec_id, abs(n - lag(n) OVER (PARTITION BY b ORDER BY vec_id)) AS dlt FROM grid),
+diffs AS (SELECT vec_id, CAST(max(dlt) AS BIGINT) AS diff FROM lagged WHERE dlt IS NOT NULL GROUP BY vec_id),
+st AS (SELECT vec_id, diff, count(*) OVER w AS n, sum(diff) OVER w AS s, sum(diff * diff) OVER w AS q FROM diffs
+       WINDOW w AS (ORDER BY vec_id ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING))
+SELECT vec_id AS row_id, diff, (n * diff - s > 0) AND ((n * diff - s) * (n * diff - s) > 4 * (n * q - s * s)) AS boundary FROM st
+""")
+def shot_boundaries(spark, sf_dir):
+    """Rows whose histogram changes by more than the mean and two deviations of the changes around them.
+
+    The window is a stencil on whole numbers: n * diff - sum > 2 * sqrt(n * squares - sum ** 2), compared as squares.
+    """
+    c, v = vectors(spark, sf_dir)
+    change = c.ops.HistogramDistance(histogram=c.ops.VectorHistogram(vector=v))
+    df = c.frame(change, "diff").where("row_id > 0").select("stream_id", "row_id", F.col("diff").cast("long").alias("diff"))
+    return outliers(df, WINDOW_ROWS, SIGMAS)
+
+
+def outliers(df: DataFrame, around: int, sigmas: int, chunk_rows: int = 1 << 20) -> DataFrame:
+    """(row_id, diff, boundary) of a stream's changes, by chunks with ``around`` rows of their neighbours."""
+    first = ((F.greatest(F.col("row_id") - around, F.lit(0))) / chunk_rows).cast("long")
+    spread = df.withColumn("chunk", F.explode(F.sequence(first, ((F.col("row_id") + around) / chunk_rows).cast("long"))))
+    w = Window.partitionBy("stream_id", "chunk").orderBy("row_id").rowsBetween(-around, around)
+    n, s, q, d = F.count("*").over(w), F.sum("diff").over(w), F.sum(F.col("diff") * F.col("diff")).over(w), F.col("diff")
+    found = spread.withColumns({"n": n, "s": s, "q": q}).where(F.col("chunk") == (F.col("row_id") / chunk_rows).cast("long"))
+    over = F.col("n") * d - F.col("s")
+    return found.select("row_id", "diff", ((over > 0) & (over * over > sigmas**2 * (F.col("n") * F.col("q") - F.col("s") * F.col("s")))).alias("boundary"))
