@@ -21,6 +21,7 @@ from rowloom.operators import library  # noqa: F401  registers the operations
 from rowloom.plans import domain as D
 from rowloom.plans.graph import GraphError, Node, Output, make_op, order
 from rowloom.plans.lower import Lowering, Performance
+from rowloom.session import importable
 from rowloom.sources.catalog import Catalog, Entry, NamedStream, StoredStream, StreamBatch
 
 
@@ -196,7 +197,7 @@ class Client:
     """One session's graphs, jobs and catalog."""
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None):
-        self.spark = spark
+        self.spark = importable(spark)
         self.io, self.streams, self.ops, self.partitioner = Inputs(), Streams(), Operations(), Partitioners()
         self.catalog = Catalog(spark, warehouse) if warehouse else None
         self.jobs: dict[str, Job] = {}

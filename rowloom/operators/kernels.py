@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import collections.abc
 import inspect
+import sys
 import typing
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 
 from rowloom.types import ElementType, find_type
 
@@ -123,6 +125,8 @@ def register_op(name: str | None = None, stencil: Sequence[int] | None = None, b
             init = init[1:]
             if hasattr(target, "new_stream"):
                 by_stream = [p for p in inspect.signature(target.new_stream).parameters][1:]
+        if not target.__module__.startswith("rowloom."):  # workers may not have the user's module
+            register_pickle_by_value(sys.modules[target.__module__])
         REGISTRY[label] = Operation(label, target, tuple(inputs), tuple(made), variadic, expression, tuple(stencil) if stencil is not None else None, batch or 1, batch is not None, bounded_state, unbounded_state, accepts_null, tuple(init), tuple(by_stream))
         return target
 

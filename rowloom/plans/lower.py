@@ -81,7 +81,7 @@ class Lowering:
         self.uses: dict[str, int] = {}
         for i, node in enumerate(self.nodes):
             for o in node.inputs:
-                self.uses[o.column] = i
+                self.uses[o.column] = len(self.nodes) if node.kind == "sink" else max(i, self.uses.get(o.column, 0))
         for node in ends:
             for k in range(len(node.outputs)):
                 self.uses[node.output(k).column] = len(self.nodes)
