@@ -26,6 +26,8 @@ MAX_LABELLED = 5_000
 WORD_CAP, TAG_CAP, TAG_LEAST = 2.0, 4.0, 0.1
 #: Score of words in blocks that labelled pages say nothing about.
 UNKNOWN_WORD = 0.1
+#: Score of tags that they don't have, but for those inside lines, which score -TAG_LEAST.
+UNKNOWN_TAG = -1.0
 
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "select", "object", "canvas")
 OMITTED = {"head", "title", "nav", "footer", "aside", "form", "button", "dialog", "menu", "audio", "video", "figcaption"}
@@ -170,7 +172,7 @@ def extract(html: str | None, weight: dict[tuple[str, str], float]) -> str:
         if kind == "t":
             scores.append(n * weight.get(("word", value.partition("\t")[0]), UNKNOWN_WORD))
         else:
-            scores.append(0.0 if kind == "-" else weight.get(("tag", _name(value)), -1.0))
+            scores.append(0.0 if kind == "-" else weight.get(("tag", _name(value)), -TAG_LEAST if value in INLINE else UNKNOWN_TAG))
     start, end = whole_blocks(found, *best_run(scores))
     blocks, current = [], []
     for kind, value, _ in found[start:end]:
