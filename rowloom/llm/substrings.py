@@ -24,6 +24,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +109,26 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
     return docs.select(*more, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__doc"), _tag(body).alias("__tag"), body.alias("__text"))
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The same with each text compressed, since it is about to be shuffled."""
+    names = keyed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([None if t is None else pack(t) for t in batch.column(len(names) - 1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names)
+
+    return keyed.mapInArrow(run, keyed.schema)
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for value in column:
+        packed = value.as_py()
+        yield None if packed is None else unpack(packed)
+
+
 def _paths_of(keyed: DataFrame, k: int, m: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, powers = WordHashes(), Powers()
@@ -133,8 +154,8 @@ def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int) -> DataFrame:
         table, powers = WordHashes(), Powers()
         for batch in batches:
             parts = []
-            for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                found = words(text.as_py())
+            for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), batch.column(3)):
+                found = words(text)
                 seq = Sequence(table.of(found), powers)
                 places = places.values.to_numpy()
                 first, count, single = places >> (COUNT_BITS + 1), places >> 1 & ((1 << COUNT_BITS) - 1), places & 1
@@ -146,7 +167,7 @@ def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["anchor", "edge", "doc", "place", "single"])
 
-    joined = keyed.join(listed, (F.col("__doc") == F.col("c_doc")) & (F.col("__tag") == F.col("c_tag")))
+    joined = _packed(keyed).join(listed, (F.col("__doc") == F.col("c_doc")) & (F.col("__tag") == F.col("c_tag")))
     return joined.select("__doc", "__tag", "__text", "places").mapInArrow(run, "anchor long, edge long, doc long, place long, single boolean")
 
 
@@ -154,7 +175,7 @@ def repeated(keyed: DataFrame, k: int, m: int) -> DataFrame:
     """(doc, place) of runs of repeated windows."""
     found = cut(_paths_of(keyed, k, m))
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high"))
-    anchors = anchors.where("n > 1").select(F.col("anchor").alias("a_anchor"), (F.col("low") != F.col("high")).alias("branches"))
+    anchors = cut(anchors.where("n > 1").select(F.col("anchor").alias("a_anchor"), (F.col("low") != F.col("high")).alias("branches")))
     known = cut(found.join(anchors, F.col("anchor") == F.col("a_anchor")).drop("a_anchor"))
     branching = known.where("branches").select("anchor", "path", "doc", "place")
     distinct = cut(branching.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one")))
@@ -162,8 +183,9 @@ def repeated(keyed: DataFrame, k: int, m: int) -> DataFrame:
     whole = branching.join(several, (F.col("anchor") == F.col("s_anchor")) & (F.col("path") == F.col("s_path"))).select("doc", "place")
     chosen = distinct.select("one.doc", "one.place", (F.col("n") == 1).alias("single"))
     edges = cut(_edges_of(keyed, chosen, k, m))
-    shared = edges.groupBy("anchor", "edge").agg(F.min(F.struct("doc", "place")).alias("low"), F.max(F.struct("doc", "place")).alias("high")).where("low != high")
-    shared = shared.select(F.col("anchor").alias("e_anchor"), F.col("edge").alias("e_edge"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc", "place") for f in (F.min, F.max)]
+    shared = edges.groupBy("anchor", "edge").agg(*ends).where("min_doc != max_doc OR min_place != max_place")
+    shared = cut(shared.select(F.col("anchor").alias("e_anchor"), F.col("edge").alias("e_edge")))
     matched = edges.where("single").join(shared, (F.col("anchor") == F.col("e_anchor")) & (F.col("edge") == F.col("e_edge"))).select("doc", "place")
     return known.where("NOT branches").select("doc", "place").unionByName(whole).unionByName(matched)
 
@@ -198,7 +220,7 @@ def _with_places(docs: DataFrame, doc_id: str, text: str, window: int, anchor: i
     keyed = _keyed(docs, doc_id, text, *more)
     places = repeated(_keyed(docs, doc_id, text), window, anchor)
     listed = places.groupBy(F.col("doc").alias("p_doc"), F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("p_tag")).agg(F.collect_set(F.shiftright("place", TAG_BITS)).alias("__places"))
-    return keyed.join(listed, (F.col("__doc") == F.col("p_doc")) & (F.col("__tag") == F.col("p_tag")), "left").drop("p_doc", "p_tag")
+    return _packed(keyed).join(listed, (F.col("__doc") == F.col("p_doc")) & (F.col("__tag") == F.col("p_tag")), "left").drop("p_doc", "p_tag")
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, spans: bool = False) -> DataFrame:
@@ -217,8 +239,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, places in zip(batch.column(1), batch.column(2)):
-                found = words(text.as_py())
+            for text, places in zip(_unpacked(batch.column(1)), batch.column(2)):
+                found = words(text)
                 gone = removed_words(len(found), places.values.to_numpy() if places.is_valid else None, window)
                 row = [len(found), int(gone.sum()), hashlib.sha256(b" ".join(compress(found, ~gone))).hexdigest()]
                 if spans:
@@ -246,8 +268,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, places in zip(batch.column(len(names)), batch.column(len(names) + 1)):
-                body = text.as_py()
+            for body, places in zip(_unpacked(batch.column(len(names))), batch.column(len(names) + 1)):
                 if body is not None and places.is_valid:
                     found = words(body)
                     body = cut_words(body, found, removed_words(len(found), places.values.to_numpy(), window))
