@@ -22,6 +22,8 @@ SEED = "mix-1"
 #: Documents that a key range holds on average, at most; ranges are sorted whole in one task each.
 RANGE_ROWS = 4096
 MAX_DIGITS = 5
+#: A table of sources up to this many rows is broadcast, so that documents needn't be shuffled to meet it.
+FEW_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -97,6 +99,10 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     return sized, cut(decided.select(F.col("source").alias("mix_source"), "source_size", "target", "epochs", "cut_key", "cut_words"))
 
 
+def _met(budgets: DataFrame) -> DataFrame:
+    return F.broadcast(budgets) if budgets.count() <= FEW_SOURCES else budgets
+
+
 def taken(size: Column, key: Column) -> Column:
     """Words that the mix takes of a document, joined with its source's row of plan()."""
     extra = F.when(key < F.col("cut_key"), size).when(key == F.col("cut_key"), F.least(size, F.col("cut_words"))).otherwise(0)
@@ -111,7 +117,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     equal whole parts. An empty table gives no rows. Other columns of ``docs``, whatever their names, are not read.
     """
     sized, budgets = plan(docs, **options)
-    return sized.join(budgets, F.col("source").eqNullSafe(F.col("mix_source"))).select("doc_id", "source", "size", "source_size", "target", taken(F.col("size"), F.col("key")).alias("taken"))
+    return sized.join(_met(budgets), F.col("source").eqNullSafe(F.col("mix_source"))).select("doc_id", "source", "size", "source_size", "target", taken(F.col("size"), F.col("key")).alias("taken"))
 
 
 def materialize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **options) -> DataFrame:
@@ -121,7 +127,7 @@ def materialize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     half a document of its budget. Documents without words go when they stand behind the cut.
     """
     _, budgets = plan(docs, doc_id, text, source, seed=seed, **options)
-    budgets = budgets.select(*(F.col(c).alias(f"__mix_{c}") for c in budgets.columns))
+    budgets = _met(budgets).select(*(F.col(c).alias(f"__mix_{c}") for c in budgets.columns))
     key = hash_key(F.col(doc_id), seed)
     fits = F.when(F.col("__mix_cut_key").isNull(), False).otherwise((key < F.col("__mix_cut_key")) | ((key == F.col("__mix_cut_key")) & (2 * F.col("__mix_cut_words") >= word_count(F.col(text)))))
     copies = (F.col("__mix_epochs") + fits.cast("long")).cast("int")
