@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import discriminant, html, mixing, pieces, rules, simhash, substrings, urls, vectors
+from rowloom.llm import discriminant, html, licences, mixing, pieces, rules, simhash, substrings, urls, vectors
 from rowloom.llm.common import tables
 
 
@@ -26,6 +26,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return licences.scan(docs)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents", "labels")
     return rules.quality_rules(docs, trusted_documents(labels))
@@ -68,7 +73,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_quality_classifier, op5_url_filters, op6_html_extraction, op7_substring_dedup, op8_embedding_dedup, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_license_scans, op3_quality_rules, op4_quality_classifier, op5_url_filters, op6_html_extraction, op7_substring_dedup, op8_embedding_dedup, op9_mixing, op10_simhash)}
 
 OP9_SQL = r"""
 WITH sized AS (
@@ -142,4 +147,4 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM units JOIN lowest ON vec_id = lowest.a LEFT JOIN counts ON vec_id = counts.a
 """
 
-ORACLE_SQL = {"op5_url_filters": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op2_license_scans": licences.sql(), "op5_url_filters": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
