@@ -22,7 +22,7 @@ from rowloom.plans import domain as D
 from rowloom.plans.graph import GraphError, Node, Output, make_op, order
 from rowloom.plans.lower import Lowering, Performance
 from rowloom.session import importable
-from rowloom.sources.catalog import Catalog, Entry, NamedStream, StoredStream, StreamBatch
+from rowloom.sources.catalog import Catalog, Entry, ExternalSink, NamedStream, StoredStream, StreamBatch
 
 
 class CacheMode(Enum):
@@ -102,8 +102,8 @@ class Inputs:
 
     def Output(self, column: Output, streams: list[NamedStream]) -> Node:
         """A sink into named streams, one for each input stream."""
-        if not isinstance(column, Output) or not all(isinstance(s, NamedStream) for s in streams):
-            raise GraphError("Output takes a column and a list of named streams")
+        if not isinstance(column, Output) or not streams or not all(isinstance(s, (NamedStream, ExternalSink)) for s in streams) or len({type(s) for s in streams}) > 1:
+            raise GraphError("Output takes a column and a list of named streams, or of external sinks")
         return Node("sink", (column,), (), {"streams": streams, "codec": column.codec or "zstd"})
 
 
@@ -186,9 +186,9 @@ class Operations:
     """Registered operations by name: ``ops.Histogram(frame=column)``."""
 
     def __getattr__(self, name: str) -> Callable[..., Any]:
-        def call(*columns: Output, stencil: list[int] | None = None, batch: int | None = None, bounded_state: int | None = None, args: dict | None = None, **more: Any) -> Any:
+        def call(*columns: Output, stencil: list[int] | None = None, batch: int | None = None, bounded_state: int | None = None, args: dict | None = None, boundary: str = "repeat_edge", **more: Any) -> Any:
             named = {k: more.pop(k) for k in list(more) if isinstance(more[k], Output)}
-            return make_op(name, list(columns) if columns else named, stencil, batch, bounded_state, args, **more)
+            return make_op(name, list(columns) if columns else named, stencil, batch, bounded_state, args, boundary, **more)
 
         return call
 
@@ -226,10 +226,18 @@ class Client:
         if not all(names) or len(set(names)) < len(names):
             raise GraphError("every output stream needs a name of its own")
         low = self.lower(sinks, performance)
+        external = [n for n in sinks if isinstance(n.spec["streams"][0], ExternalSink)]
         for n in sinks:
             if len(n.spec["streams"]) != low.streams:
                 raise GraphError(f"an Output has {len(n.spec['streams'])} streams for {low.streams} inputs")
-        if len({s for n in sinks for s in [n.spec["streams"][0].catalog.warehouse]}) > 1:
+        for n in external:
+            df = low.with_errors(n.inputs[0], "column")
+            for i, s in enumerate(n.spec["streams"]):
+                s.write(df.where((F.col("stream_id") == i) & F.col("__error").isNull()).select("row_id", "column"))
+        sinks = [n for n in sinks if n not in external]
+        if not sinks:
+            return None
+        if len({n.spec["streams"][0].catalog.warehouse for n in sinks}) > 1:
             raise GraphError("all outputs of a job go to one warehouse")
         skip = self._cached(sinks, cache_mode)
         todo = [i for i in range(low.streams) if i not in skip]

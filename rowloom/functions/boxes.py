@@ -44,3 +44,16 @@ def average_nms(boxes: list, overlap: float) -> np.ndarray:
         mean = (b[g, :4] * weight[:, None]).sum(axis=0) / weight.sum() if weight.sum() else b[g[0], :4]
         out.append([*mean, b[g[0], 4]])
     return np.array(out).reshape(-1, 5)
+
+
+def smooth(boxes: list, before: list, after: list, least_overlap: float = 0.5) -> np.ndarray:
+    """Boxes averaged, by position, with the boxes of the frames before and after that overlap them most."""
+    out = []
+    for box in np.asarray(boxes, float).reshape(-1, 5):
+        near = [box]
+        for others in (before, after):
+            candidates = [o for o in np.asarray(others, float).reshape(-1, 5) if iou(box, o) >= least_overlap]
+            if candidates:
+                near.append(max(candidates, key=lambda o: iou(box, o)))
+        out.append([*np.mean([n[:4] for n in near], axis=0), box[4]])
+    return np.array(out).reshape(-1, 5)

@@ -168,3 +168,8 @@ def sleep(config, ignore: bytes) -> bytes:
 def widen(config, vector: Column):
     """An array of numbers as doubles."""
     return vector.cast("array<double>")
+
+
+@register_op(name="TextLength")
+def text_length(config, text: str) -> int:
+    return len(text)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.client import Client
+from rowloom.operators.prefix import running
 from rowloom.plans.domain import SliceArgs
 from rowloom.sources.catalog import FrameStream, StreamBatch
 
@@ -208,6 +209,30 @@ def bounded_moving_sum(spark, sf_dir):
     return df.select("row_id", F.aggregate(inside, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 100).cast("long")).alias("cents"))
 
 
+@query("SELECT event_id AS row_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY event_id) AS BIGINT) AS value FROM events")
+def unbounded_running_sum(spark, sf_dir):
+    """State that combines, in two passes over chunks of the stream."""
+    c, e = events(spark, sf_dir)
+    cents = c.frame(e).withColumn("value", F.round(F.col("value") * 100).cast("long"))
+    return running(cents, "value", "sum", "total", chunk_rows=1 << 12).select("row_id", F.col("total").alias("value"))
+
+
+@query("SELECT event_id AS row_id, lag(value, 2) OVER (ORDER BY event_id) AS before, lead(value) OVER (ORDER BY event_id) AS after FROM events")
+def stencil_repeat_null(spark, sf_dir):
+    """A window that sees nulls beyond the ends of its stream."""
+    c, e = events(spark, sf_dir)
+    df = c.frame(c.ops.Neighbours(value=e, stencil=[-2, 1], boundary="repeat_null"), "n")
+    return df.select("row_id", F.col("n")[0].alias("before"), F.col("n")[1].alias("after"))
+
+
+@query("SELECT doc_id AS row_id, CAST(len(text) AS BIGINT) AS value FROM documents")
+def python_kernel(spark, sf_dir):
+    """A plain Python function over every element, in Arrow batches."""
+    c = Client(spark)
+    docs = c.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")])
+    return plain(c.frame(c.ops.TextLength(text=docs)))
+
+
 def by_user(spark: SparkSession, sf_dir: str) -> tuple[StreamBatch, DataFrame]:
     """The events of each user as a stream; streams are numbered by user id. Users with a row id are the batch."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -287,7 +287,7 @@ class Lowering:
         made = [node.output(k).column for k in range(len(op.outputs))]
         df, columns = family.df, dict(zip(names, names))
         if offsets is not None:
-            df, columns = self._stencil_columns(df, family.keys, names, offsets, shape, listed=not op.expression)
+            df, columns = self._stencil_columns(df, family.keys, names, offsets, shape, not op.expression, node.spec["boundary"])
         keep = [c for c in sorted(family.columns) if self.uses.get(c, -1) > position]
         if op.expression:
             from rowloom.operators.kernels import KernelConfig
@@ -304,7 +304,7 @@ class Lowering:
                 self.families[k] = grown
         return grown
 
-    def _stencil_columns(self, df: DataFrame, keys: list[str], names: list[str], offsets: tuple[int, ...], shape: Shape, listed: bool):
+    def _stencil_columns(self, df: DataFrame, keys: list[str], names: list[str], offsets: tuple[int, ...], shape: Shape, listed: bool, boundary: str):
         """The neighbours of every row at ``offsets``, row ids clamped to the stream or slice."""
         df, group = self._chunked(df, keys, max(0, -min(offsets)), max(0, max(offsets)), shape.lengths)
         ordered = Window.partitionBy(*group).orderBy("row_id")
@@ -314,7 +314,12 @@ class Lowering:
             box = F.struct(F.col(n).alias("v"))
             around = []
             for k, o in enumerate(offsets):
-                found = F.struct(F.col(n).alias("v")) if o == 0 else F.coalesce(F.lag(box, -o).over(ordered), F.first(box).over(whole)) if o < 0 else F.coalesce(F.lead(box, o).over(ordered), F.last(box).over(whole))
+                found = box if o == 0 else F.lag(box, -o).over(ordered) if o < 0 else F.lead(box, o).over(ordered)
+                if o and boundary == "repeat_edge":
+                    found = F.coalesce(found, (F.first(box) if o < 0 else F.last(box)).over(whole))
+                elif o and boundary == "error":
+                    missing = F.when(F.col("__emit"), F.raise_error(F.lit(f"a window reaches {o} rows beyond its stream"))).cast(f"struct<v:{df.schema[n].dataType.simpleString()}>")
+                    found = F.coalesce(found, missing)
                 df = df.withColumn(f"__s_{n}_{k}", found)
                 around.append(F.col(f"__s_{n}_{k}")["v"])
             columns[n] = around

@@ -221,6 +221,20 @@ class NamedStream(StoredStream):
             return None
 
 
+class ExternalSink:
+    """A place outside the catalog that a stream's elements go to: anything that a DataFrameWriter can write.
+
+    ``format`` may be a Python data source. Rows are row_id and column; those whose kernel failed are left out. It has
+    no commit flags and no cache modes: ``mode`` is the writer's.
+    """
+
+    def __init__(self, name: str, format: str, path: str | None = None, mode: str = "error", **options: Any):
+        self.name, self.format, self.path, self.mode, self.options = name, format, path, mode, options
+
+    def write(self, df: DataFrame) -> None:
+        df.write.format(self.format).mode(self.mode).options(**self.options).save(self.path)
+
+
 class FrameStream(StoredStream):
     """A column of any DataFrame with a dense row id."""
 

@@ -8,13 +8,14 @@ import numpy as np
 import pytest
 
 from rowloom.client import CacheMode, Client
-from rowloom.functions.boxes import average_nms, best_nms, iou
+from rowloom.functions.boxes import average_nms, best_nms, iou, smooth
 from rowloom.functions.images import blur, decode_png, encode_png, resize
 from rowloom.operators.kernels import register_op
+from rowloom.operators.prefix import running
 from rowloom.plans.domain import SliceArgs
 from rowloom.plans.graph import GraphError
 from rowloom.plans.lower import Performance
-from rowloom.sources.catalog import FrameStream, StreamBatch
+from rowloom.sources.catalog import ExternalSink, FrameStream, StreamBatch
 from rowloom.sources.files import ElementSource, FilesStream, PackedFileStream, SourceStream, ingest_images
 from rowloom.types import FRAME, NullElement, encode_frame, find_type, pack_rows, uniform_list, unpack_rows
 
@@ -348,3 +349,36 @@ def test_types():
     assert find_type("histogram").encode([[1], [2], [3]]) == [[1], [2], [3]]
     with pytest.raises(ValueError):
         find_type("histogram").encode([[1]])
+
+
+def test_boundaries(spark, client):
+    x = client.io.Input([numbers(spark, 4)])
+    assert values(client.frame(client.ops.Neighbours(value=x, stencil=[-1, 2], boundary="repeat_null"))) == [[None, 2], [0, 3], [1, None], [2, None]]
+    inside = client.streams.Range(client.ops.Neighbours(value=x, stencil=[-1], boundary="error"), [(1, 4)])
+    assert values(client.frame(inside)) == [[0], [1], [2]]
+    with pytest.raises(Exception, match="beyond its stream"):
+        client.frame(client.ops.Neighbours(value=x, stencil=[-1], boundary="error")).collect()
+    with pytest.raises(GraphError):
+        client.ops.Neighbours(value=x, boundary="wrap")
+
+
+@pytest.mark.parametrize("kind", ["sum", "count", "min", "max"])
+def test_running_aggregates(spark, kind):
+    rows = [(s, r, None if r % 5 == 0 else (r * 7919) % 101) for s in range(2) for r in range(40)]
+    df = spark.createDataFrame(rows, "stream_id int, row_id long, v long")
+    got = {(r[0], r[1]): r["running"] for r in running(df, "v", kind, chunk_rows=6).collect()}
+    f = {"sum": sum, "count": len, "min": min, "max": max}[kind]
+    for s, r, _ in rows:
+        seen = [v for t, q, v in rows if t == s and q <= r and v is not None]
+        assert got[s, r] == (f(seen) if seen or kind == "count" else None)
+
+
+def test_external_sinks(spark, client, tmp_path):
+    x = client.io.Input([numbers(spark, 3), numbers(spark, 2)])
+    sinks = [ExternalSink(f"e{i}", "json", str(tmp_path / f"e{i}")) for i in range(2)]
+    assert client.run(client.io.Output(client.ops.Doubled(x=x), sinks)) is None
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "e0")).select("row_id", "column").collect()) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_smoothed_boxes():
+    assert smooth([[0, 0, 10, 10, 0.9]], [[0, 0, 10, 12, 0.5]], [[50, 50, 60, 60, 0.5]]).tolist() == [[0, 0, 10, 11, 0.9]]
