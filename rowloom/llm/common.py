@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -35,8 +36,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there: short lineage that outlives executors."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = prepare(df.sparkSession)
+    written = df.checkpoint(eager=True)
+    del df
+    release(spark)
+    return written
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle and checkpoint files of frames that nothing refers to any more.
+
+    It learns of them from the garbage collectors of Python and the driver, which else run too seldom for large files.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -44,6 +57,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    del df
+    release(spark)
     return spark.read.parquet(path)
 
 

@@ -174,18 +174,21 @@ def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int) -> DataFrame:
 def repeated(keyed: DataFrame, k: int, m: int) -> DataFrame:
     """(doc, place) of runs of repeated windows."""
     found = cut(_paths_of(keyed, k, m))
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high"))
-    anchors = cut(anchors.where("n > 1").select(F.col("anchor").alias("a_anchor"), (F.col("low") != F.col("high")).alias("branches")))
+    counted = (F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high"))
+    anchors = cut(found.groupBy("anchor").agg(*counted).where("n > 1").select(F.col("anchor").alias("a_anchor"), (F.col("low") != F.col("high")).alias("branches")))
     known = cut(found.join(anchors, F.col("anchor") == F.col("a_anchor")).drop("a_anchor"))
+    del found, anchors
     branching = known.where("branches").select("anchor", "path", "doc", "place")
     distinct = cut(branching.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one")))
     several = distinct.where("n > 1").select(F.col("anchor").alias("s_anchor"), F.col("path").alias("s_path"))
     whole = branching.join(several, (F.col("anchor") == F.col("s_anchor")) & (F.col("path") == F.col("s_path"))).select("doc", "place")
+    del several
     chosen = distinct.select("one.doc", "one.place", (F.col("n") == 1).alias("single"))
     edges = cut(_edges_of(keyed, chosen, k, m))
+    del chosen, distinct
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc", "place") for f in (F.min, F.max)]
-    shared = edges.groupBy("anchor", "edge").agg(*ends).where("min_doc != max_doc OR min_place != max_place")
-    shared = cut(shared.select(F.col("anchor").alias("e_anchor"), F.col("edge").alias("e_edge")))
+    different = "min_doc != max_doc OR min_place != max_place"
+    shared = cut(edges.groupBy("anchor", "edge").agg(*ends).where(different).select(F.col("anchor").alias("e_anchor"), F.col("edge").alias("e_edge")))
     matched = edges.where("single").join(shared, (F.col("anchor") == F.col("e_anchor")) & (F.col("edge") == F.col("e_edge"))).select("doc", "place")
     return known.where("NOT branches").select("doc", "place").unionByName(whole).unionByName(matched)
 
