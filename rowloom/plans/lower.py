@@ -203,8 +203,10 @@ class Lowering:
                 r = F.col("row_id")
                 df = df.withColumn("__r", F.explode(F.filter(listed, lambda x: (x["a"] <= r) & (r < x["b"]) & ((r - x["a"]) % one.stride == 0))))
                 return df.withColumn("row_id", F.col("__r.at") + self._div(F.col("row_id") - F.col("__r.a"), F.lit(one.stride)))
-        rows = [(i, g, a, b, at, s.stride) for i, g, size, s in self._by_slice(chosen, lengths, by_slice or one is None) for a, b, at in s.cut(size)]
-        return self._range_join(df, rows, by_slice or (one is None and "slice_id" in df.columns and any(len(c) > 1 for c in chosen)))
+        # where a range may be cut, the offsets of later ones depend on the slice's length
+        by_slice = by_slice or "slice_id" in df.columns and any(len(s.intervals) > 1 for c in chosen for s in c)
+        rows = [(i, g, a, b, at, s.stride) for i, g, size, s in self._by_slice(chosen, lengths, by_slice) for a, b, at in s.cut(size)]
+        return self._range_join(df, rows, by_slice)
 
     def _range_join(self, df: DataFrame, rows: list[tuple], by_slice: bool, width: int | None = None) -> DataFrame:
         """Rows in (stream, slice, start, end, offset, stride); an equi-join on the bucket of the row id."""
@@ -217,6 +219,8 @@ class Lowering:
         return df.withColumn("row_id", F.col("p_at") + self._div(r - F.col("p_a"), F.col("p_step")))
 
     def _gather(self, df, made, chosen, lengths, by_slice, one):
+        shortest = min((n for x in lengths for n, _ in x.runs), default=0)
+        by_slice = by_slice or "slice_id" in df.columns and any(r >= shortest for c in chosen for s in c for r in s.indices)
         rows = [(i, g, r, k) for i, g, size, s in self._by_slice(chosen, lengths, by_slice) for k, r in enumerate(s.within(size))]
         if not rows:
             return df.where(F.lit(False))

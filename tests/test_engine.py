@@ -382,3 +382,28 @@ def test_external_sinks(spark, client, tmp_path):
 
 def test_smoothed_boxes():
     assert smooth([[0, 0, 10, 10, 0.9]], [[0, 0, 10, 12, 0.5]], [[50, 50, 60, 60, 0.5]]).tolist() == [[0, 0, 10, 11, 0.9]]
+
+
+def test_sampling_inside_slices_of_different_lengths(spark, client):
+    """Whatever the lengths, a slice is sampled as a stream of its own."""
+    from rowloom.plans import domain as D
+
+    lengths = [(23, 10), (7, 10)]
+    streams = [numbers(spark, n) for n, _ in lengths]
+    make = client.streams
+    for build, samplers in (
+        (lambda c: make.Ranges(c, [[(0, 3), (2, 9), (1, 2)]]), [D.Ranges(((0, 3), (2, 9), (1, 2)))] * 2),
+        (lambda c: make.Ranges(c, [[(0, 3), (2, 9)], [(1, 6)]]), [D.Ranges(((0, 3), (2, 9))), D.Ranges(((1, 6),))]),
+        (lambda c: make.Range(c, [(1, 5), (2, 4)]), [D.Ranges(((1, 5),)), D.Ranges(((2, 4),))]),
+        (lambda c: make.Gather(c, [[0, 8, 1]]), [D.Gather((0, 8, 1))] * 2),
+        (lambda c: make.Gather(c, [[2, 1], [0]]), [D.Gather((2, 1)), D.Gather((0,))]),
+        (lambda c: make.Stride(c, [3, 2]), [D.Stride(3), D.Stride(2)]),
+        (lambda c: make.Repeat(c, [2, 3]), [D.Repeat(2), D.Repeat(3)]),
+    ):
+        cut = make.Slice(client.io.Input(streams), [client.partitioner.all(10)])
+        got = sorted(tuple(r) for r in client.frame(make.Unslice(build(cut))).collect())
+        want = []
+        for i, ((n, size), sampler) in enumerate(zip(lengths, samplers)):
+            groups = D.GroupsOf(size).groups(n)
+            want += [(i, k, r) for k, r in enumerate(g[x] for g in groups for x in sampler.rows(len(g)))]
+        assert got == want
