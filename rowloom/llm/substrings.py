@@ -198,6 +198,8 @@ def removed_words(n: int, places: np.ndarray | None, k: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
     if places is not None and len(places):
         first, count = places >> COUNT_BITS, places & ((1 << COUNT_BITS) - 1)
+        inside = first + count - 1 + k <= n
+        first, count = first[inside], count[inside]
         np.add.at(step, first, 1)
         np.add.at(step, first + count - 1 + k, -1)
     return np.cumsum(step[:n]) > 0
