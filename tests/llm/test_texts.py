@@ -98,11 +98,11 @@ def brute_ratio(texts, trusted):
         found = list(grams(t or ""))
         raw.update(found)
         good.update(found if ok else ())
-    log = lambda c, k: np.log((c[k] + rules.SMOOTHING) / (sum(c.values()) + rules.SMOOTHING * rules.BUCKETS))
+    share = sum(good.values()) / max(1, sum(raw.values()))
     out = []
     for t in texts:
         found = list(grams(t or ""))
-        out.append(sum(log(good, k) - log(raw, k) for k in found) / len(found) if found else 0.0)
+        out.append(sum(np.log((good[k] + rules.SMOOTHING) / (raw[k] * share + rules.SMOOTHING)) for k in found) / len(found) if found else 0.0)
     return out
 
 
