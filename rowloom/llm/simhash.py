@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(near_links(distinct.select("fp"), bits))
     labelled = cut(distinct.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("l_fp"), "first", F.coalesce("component", "fp").alias("component")))
-    firsts = labelled.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "f_component")
+    firsts = cut(labelled.groupBy(F.col("component").alias("f_component")).agg(F.min("first").alias("component_id")))
     ids = labelled.join(firsts, F.col("component") == F.col("f_component")).select("l_fp", "component_id")
     return prints.join(ids, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
 
