@@ -259,6 +259,15 @@ def zip_streams(spark, sf_dir):
     return plain(c.frame(c.ops.Sum(c.streams.Range(e, [(0, 1000)]), c.streams.Range(orders, [(0, 1000)]))))
 
 
+@query("SELECT a.event_id AS row_id, a.value + b.o_totalprice AS value FROM events a JOIN orders b ON a.event_id = b.o_orderkey")
+def zip_streams_whole(spark, sf_dir):
+    """Two sources joined by position, both cut to the length of the shorter one."""
+    c, e = events(spark, sf_dir)
+    orders = c.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_totalprice")])
+    n = min(s.node.spec["counts"]()[0] for s in (e, orders))
+    return plain(c.frame(c.ops.Sum(c.streams.Range(e, [(0, n)]), c.streams.Range(orders, [(0, n)]))))
+
+
 @query("SELECT vec_id AS row_id, b AS bin, count(*) FILTER (WHERE least(15, greatest(0, CAST(floor((x + 1) * 8) AS INT))) = b) AS n FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), (SELECT unnest(range(16)) AS b) GROUP BY vec_id, b")
 def frame_histogram(spark, sf_dir):
     c, v = vectors(spark, sf_dir)
