@@ -6,14 +6,17 @@ any size cut into equal groups costs two entries.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
+
+import numpy as np
 
 Hull = tuple[int, int]
 EMPTY: Hull = (0, 0)
 #: Wanted rows as disjoint ascending intervals.
 Rows = tuple[Hull, ...]
-#: More intervals than this are replaced with the one that holds them all.
+#: More intervals than this are replaced with the one that holds them all: they serve as filters only, see Wanted.
 MAX_INTERVALS = 256
 
 
@@ -117,6 +120,10 @@ class Sampler:
             rows = tuple((r, r + 1) for a, b in rows for r in range(a, b))
         return merge(self.needed(r, n) for r in rows)
 
+    def asks(self, below: Wanted, n: int) -> Ask:
+        """Whether upstream rows lo..hi have one that the wanted rows ``below`` are made of."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class All(Sampler):
@@ -131,6 +138,9 @@ class All(Sampler):
     def rows(self, n: int) -> list[int | None]:
         return list(range(n))
 
+    def asks(self, below: Wanted, n: int) -> Ask:
+        return below.any
+
 
 @dataclass(frozen=True)
 class Ranges(Sampler):
@@ -171,6 +181,9 @@ class Ranges(Sampler):
     def rows(self, n: int) -> list[int | None]:
         return [r for a, b, _ in self.cut(n) for r in range(a, b, self.stride)]
 
+    def asks(self, below: Wanted, n: int) -> Ask:
+        return partial(_in_ranges, np.array(self.cut(n), np.int64).reshape(-1, 3), self.stride, below)
+
 
 @dataclass(frozen=True)
 class Stride(Sampler):
@@ -191,6 +204,9 @@ class Stride(Sampler):
     def rows(self, n: int) -> list[int | None]:
         return list(range(0, n, self.stride))
 
+    def asks(self, below: Wanted, n: int) -> Ask:
+        return partial(_in_stride, self.stride, below)
+
 
 @dataclass(frozen=True)
 class Gather(Sampler):
@@ -216,6 +232,11 @@ class Gather(Sampler):
     def rows(self, n: int) -> list[int | None]:
         return list(self.within(n))
 
+    def asks(self, below: Wanted, n: int) -> Ask:
+        chosen = np.array(self.within(n), np.int64)
+        at = np.arange(len(chosen))
+        return partial(_in_list, np.unique(chosen[below.any(at, at)]))
+
 
 @dataclass(frozen=True)
 class Repeat(Sampler):
@@ -237,6 +258,9 @@ class Repeat(Sampler):
     def rows(self, n: int) -> list[int | None]:
         return [None if self.null and j else r for r in range(n) for j in range(self.times)]
 
+    def asks(self, below: Wanted, n: int) -> Ask:
+        return partial(_in_repeats, self.times, below)
+
 
 class Partitioner:
     """Cuts a stream into slices: their lengths, the upstream rows they need, and each slice's rows."""
@@ -336,6 +360,73 @@ def unbounded_needs(rows: Rows) -> Rows:
     return ((0, rows[-1][1]),) if rows else ()
 
 
+#: Of ascending first and last rows lo and hi: which lo..hi have a wanted row.
+Ask = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+@dataclass(frozen=True, eq=False)
+class Wanted:
+    """Exactly the wanted rows of a stream of ``n`` rows: all, or those that one of ``asks`` finds. Samplers translate
+    the question to their downstream rows, so that no rows are listed but those that Gather lists."""
+
+    n: int
+    whole: bool = True
+    asks: tuple[Ask, ...] = ()
+
+    def any(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which of the rows lo..hi, both ascending, have a wanted row."""
+        lo, hi = np.maximum(lo, 0), np.minimum(hi, self.n - 1)
+        found = lo <= hi
+        if self.whole or not found.any():
+            return found
+        at = np.flatnonzero(found)
+        lo, hi = lo[at], hi[at]
+        found[at] = np.logical_or.reduce([ask(lo, hi) for ask in self.asks])
+        return found
+
+
+def _in_ranges(cut: np.ndarray, stride: int, below: Wanted, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(lo), bool)
+    for a, b, at in cut[(cut[:, 0] <= hi[-1]) & (cut[:, 1] > lo[0])].tolist():
+        i, j = np.searchsorted(hi, a), np.searchsorted(lo, b)
+        if i < j:
+            first, last = np.maximum(lo[i:j], a) - a, np.minimum(hi[i:j], b - 1) - a
+            first, last = -(-first // stride), last // stride
+            found[i:j] |= below.any(at + first, at + last)
+    return found
+
+
+def _in_stride(stride: int, below: Wanted, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return below.any(-(-lo // stride), hi // stride)
+
+
+def _in_list(chosen: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return np.searchsorted(chosen, lo) < np.searchsorted(chosen, hi, "right")
+
+
+def _in_repeats(times: int, below: Wanted, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return below.any(lo * times, hi * times + (times - 1))
+
+
+def _in_windows(before: int, after: int, below: Wanted, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return below.any(lo - before, hi + after)
+
+
+def _in_hull(rows: Hull, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (lo < rows[1]) & (hi >= rows[0])
+
+
+def within_windows(below: Wanted, before: int, after: int) -> Wanted:
+    """Rows with a wanted row at most ``before`` rows before or ``after`` rows after them."""
+    if below.whole or not before and not after:
+        return below
+    return Wanted(below.n, False, (partial(_in_windows, before, after, below),))
+
+
+def within_hull(rows: Hull, n: int) -> Wanted:
+    return Wanted(n, False, (partial(_in_hull, rows),))
+
+
 @dataclass
 class SliceArgs:
     """One argument for each slice of a stream; a plain argument holds for all slices."""

@@ -11,12 +11,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.operators.kernels import Operation, partition_runner
 from rowloom.plans import domain as D
-from rowloom.plans.graph import Node, Output, Shape, analyse, needs, per_stream, samplers_of
+from rowloom.plans.graph import Node, Output, Shape, analyse, needs, per_stream, samplers_of, wanted
 
 #: Argument tables up to this many rows are broadcast; their rows come from the driver, so the size is known.
 BROADCAST_ROWS = 100_000
@@ -57,7 +59,8 @@ class Family:
 
 
 def rows_filter(rows: list[D.Rows], lengths: list[int]) -> Column | None:
-    """The condition that keeps the wanted rows of every stream; None keeps all."""
+    """A condition that holds for the wanted rows of every stream, and for rows between them if they are many; None
+    keeps all."""
     if all(r == ((0, n),) or not n for r, n in zip(rows, lengths)):
         return None
     one = lambda r: reduce(lambda a, b: a | b, ((F.col("row_id") >= a) & (F.col("row_id") < b) for a, b in r), F.lit(False)) if r else F.lit(False)
@@ -69,12 +72,29 @@ def rows_filter(rows: list[D.Rows], lengths: list[int]) -> Column | None:
     return one(every)
 
 
+def fed_filter(rows: list[D.Wanted], warmup: int) -> Column:
+    """The condition that holds for exactly the wanted rows of every stream and the ``warmup`` rows before each."""
+
+    @F.pandas_udf("boolean")
+    def fed(stream_id: pd.Series, row_id: pd.Series) -> pd.Series:
+        streams, ids = stream_id.to_numpy(), row_id.to_numpy()
+        order = np.lexsort((ids, streams))
+        found = np.zeros(len(ids), bool)
+        for part in np.split(order, np.flatnonzero(np.diff(streams[order])) + 1):
+            if len(part):
+                found[part] = rows[streams[part[0]]].any(ids[part], ids[part] + warmup)
+        return pd.Series(found)
+
+    return fed("stream_id", "row_id")
+
+
 class Lowering:
     """Lowers the nodes of one graph."""
 
     def __init__(self, spark: SparkSession, ends: list[Node], counts: dict[int, list[int]], performance: Performance | None = None):
         self.spark, self.performance = spark, performance or Performance()
         self.nodes, self.shapes = analyse(ends, counts)
+        self.ends, self.wanted = ends, {}
         self.needs = needs(self.nodes, self.shapes, ends)
         self.families: dict[int, Family] = {}
         self.python = False
@@ -345,6 +365,9 @@ class Lowering:
             if not family.sliced:
                 condition = rows_filter(self.needs[node.id], [n.total for n in shape.lengths])
                 df = df.where(condition) if condition is not None else df
+                exact = wanted(node, self.nodes, self.shapes, self.ends, self.wanted)
+                if not op.unbounded_state and not all(w.whole for w in exact):
+                    df = df.where(fed_filter(exact, warmup))
             if op.unbounded_state:
                 df, group = df.withColumn("__chunk", F.lit(0).cast("long")).withColumn("__emit", F.lit(True)), [*family.keys[:-1], "__chunk"]
             else:
