@@ -28,6 +28,12 @@ MAX_SAMPLE = 10_000
 ROUNDS = 30
 #: The share of links at the very threshold that the tables should find if bits were independent.
 RECALL = 0.98
+#: The share of the sample's links near the threshold that the tables must find.
+FOUND = 0.95
+#: Vectors are coded without centring where it would take more tables than this.
+MAX_TABLES = 128
+#: Links of the sample that the tables are tried on.
+TRIED = 10_000
 BITS = 64
 #: Vectors of a bucket's block.
 BLOCK = 4096
@@ -58,32 +64,65 @@ class Index:
         """The key of every table of every rotation."""
         shifts = (np.arange(self.tables) * self.width).astype(np.uint64)
         parts = (codes[:, :, None] >> shifts) & np.uint64((1 << self.width) - 1)
-        return parts.reshape(len(codes), -1).astype(np.int64)
+        return parts.reshape(len(codes), codes.shape[1] * self.tables).astype(np.int64)
+
+
+def _near_pairs(sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit vectors whose cosine is the threshold or little more."""
+    found, count = [], 0
+    for i in range(0, len(sample), TILE):
+        cosine = sample[i : i + TILE] @ sample[i:].T
+        p, q = np.nonzero((cosine >= threshold) & (cosine <= threshold + 0.2 * (1 - threshold)))
+        found.append(np.stack((p + i, q + i))[:, p < q])
+        count += found[-1].shape[1]
+        if count > TRIED:
+            break
+    p, q = np.concatenate(found, axis=1)[:, :TRIED] if found else np.zeros((2, 0), np.int64)
+    return p, q
+
+
+def _tables(angle: float, width: int) -> float:
+    """Tables that find RECALL of the pairs at an angle (1: opposite)."""
+    same = (1 - angle) ** width
+    return 1 if same >= RECALL else ceil(log(1 - RECALL) / log(1 - same)) if same > 1e-9 else float("inf")
 
 
 def learn(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, seed: int = 7) -> Index:
-    """Rotations by iterative quantisation: alternate codes and the orthogonal map that fits them best."""
+    """Rotations by iterative quantisation: alternate codes and the orthogonal map that fits them best.
+
+    A pair at the threshold has a wider angle once the vectors' common part is taken away: the number of tables follows
+    from that angle, and grows, to 2 * MAX_TABLES at most, until they find the links near the threshold of the sample.
+    """
     d = sample.shape[1]
     bits = min(BITS, d)
     width = min(bits, 8 if rows <= 1 << 20 else 12 if rows <= 1 << 26 else 16)
     bits -= bits % width
-    angle = acos(threshold) / pi
     tables = bits // width
-    wanted = ceil(log(1 - RECALL) / log(1 - (1 - angle) ** width)) if angle else 1
     mean = sample.mean(axis=0)
+    common = min(float(mean @ mean), 1 - 1e-9)
+    angle = acos(max(-1.0, (threshold - common) / (1 - common))) / pi
+    if _tables(angle, width) > MAX_TABLES:
+        mean, angle = np.zeros(d), acos(threshold) / pi
+    wanted = _tables(angle, width)
     centred = sample - mean
-    basis = np.linalg.svd(np.cov(centred.T).reshape(d, d) if len(sample) > 1 else np.eye(d))[0][:, :bits]
+    basis = np.linalg.svd(centred.T @ centred / (len(sample) - 1) if len(sample) > 1 else np.eye(d))[0][:, :bits]
     reduced = centred @ basis
     generator = np.random.default_rng(seed)
-    projections = []
-    for _ in range(max(1, ceil(wanted / tables))):
+    projections: list[np.ndarray] = []
+    expected = angle * bits
+    radius = min(bits, ceil(expected + 6 * sqrt(expected * (1 - angle)) + 1))
+    p, q = _near_pairs(sample, threshold)
+    missed = np.ones(len(p), bool)
+    while len(projections) < ceil(wanted / tables) or len(p) and missed.mean() > 1 - FOUND and len(projections) * tables < 2 * MAX_TABLES:
         rotation = np.linalg.qr(generator.standard_normal((bits, bits)))[0]
         for _ in range(ROUNDS):
             left, _, right = np.linalg.svd(np.where(reduced @ rotation > 0, 1.0, -1.0).T @ reduced)
             rotation = (left @ right).T
         projections.append(basis @ rotation)
-    expected = angle * bits
-    return Index(d, mean, projections, width, min(bits, ceil(expected + 6 * sqrt(expected * (1 - angle)) + 1)))
+        one = Index(d, mean, projections[-1:], width, radius)
+        a, b = one.codes(sample[p]), one.codes(sample[q])
+        missed &= ~((one.keys(a) == one.keys(b)).any(axis=1) & (np.bitwise_count(a ^ b)[:, 0] <= radius))
+    return Index(d, mean, projections, width, radius)
 
 
 def _unit(column: pa.Array, dimension: int) -> np.ndarray:
