@@ -219,28 +219,31 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     n_links counts the other rows linked directly; component_id is the smallest vec_id reachable, itself included; kept
     tells whether that is its own. Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing, nor do those of another length than most (of equally common lengths, the longest). Equal vectors link. An
-    id should stand for one vector: rows that repeat an id with other vectors share links and a component. A null id is
-    never linked and has a null component. An empty table gives no rows. Other columns are not read.
+    nothing; others link with those of their length. Equal vectors link. An id should stand for one vector: rows that
+    repeat an id with other vectors of that length share links and a component. A null id is never linked and has a null
+    component. An empty table gives no rows. Other columns are not read.
     """
     prepare(rows.sparkSession)
     raw = F.col(embedding).cast("array<float>")
     chosen = rows.select(F.col(vec_id).cast("long").alias("vec_id"), raw.alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("vector", lambda v: v != 0), F.lit(False))
-    common = chosen.where(sound).groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    chosen = chosen.withColumn("sound", sound & (F.size("vector") == (common["d"] if common else 0)))
-    alone = chosen.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if common is None:
-        return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-    valid = chosen.where("sound").select("vec_id", "vector")
+    chosen = chosen.withColumn("sound", sound)
+    lengths = [r["d"] for r in chosen.where("sound").groupBy(F.size("vector").alias("d")).count().orderBy("d").collect()]
+    told = chosen.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for d in lengths:
+        told = _linked(chosen.where(F.col("sound") & (F.size("vector") == d)).select("vec_id", "vector"), d, threshold).unionByName(told)
+    return told.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(valid: DataFrame, dimension: int, threshold: float) -> DataFrame:
+    """vec_id, n_links and component_id of sound vectors of one length."""
     classes = cut(valid.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     sample = classes.orderBy(F.xxhash64("vector"), "id").limit(MAX_SAMPLE).select("vector").toArrow().column(0)
-    index = learn(_unit(sample.combine_chunks(), common["d"]), classes.count(), threshold)
+    index = learn(_unit(sample.combine_chunks(), dimension), classes.count(), threshold)
     found = cut(_links(_buckets(classes, index), index, threshold))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "k_id")
     parts = components(found.where("b IS NOT NULL").select("a", "b"))
     told = classes.join(links, F.col("id") == F.col("k_id"), "left").join(parts, F.col("id") == F.col("node"), "left")
     told = told.select(F.col("vector").alias("t_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = valid.join(told, F.col("vector") == F.col("t_vector")).select("vec_id", "n_links", "component_id")
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return valid.join(told, F.col("vector") == F.col("t_vector")).select("vec_id", "n_links", "component_id")
