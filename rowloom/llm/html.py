@@ -39,15 +39,25 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "br", "cite", "code", "em", "font", "i", "img", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u"}
 #: Words in a class, id or role that mark an element as no part of the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?<!\bhas-)(?<!\bwith-)(?<!\bno-)(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|comment-?list|cookies?|consent|contentinfo|disqus|footer|gdpr|legal|login|masthead|menu|modal|"
-    r"nav|navbar|navigation|newsletter|notices?|pagination|popups?|promos?|promotion|related|replies|responses|search|share|sharing|sidebars?|signup|social|sponsor(?:ed|s)?|subscribe|toolbar|widgets?)(?:$|[\s_-])",
-    re.I,
+_WORDS = (
+    r"(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|comment-?list|cookies?|consent|contentinfo|disqus|footer|gdpr|legal|login|masthead|menu|modal|"
+    r"nav|navbar|navigation|newsletter|notices?|pagination|popups?|promos?|promotion|related|replies|responses|search|share|sharing|sidebars?|signup|social|sponsor(?:ed|s)?|subscribe|toolbar|widgets?)"
 )
+BOILERPLATE = re.compile(rf"(?:^|[\s_-])(?<!\bhas-)(?<!\bwith-)(?<!\bno-){_WORDS}(?:$|[\s_-])", re.I)
+#: Inside an article only names that have no other words mark an element.
+_ALL_BOILERPLATE = re.compile(rf"(?:^|\s){_WORDS}(?:[_-]{_WORDS})*(?:$|\s)", re.I)
+#: Inside an article the ids of these are what links point at.
+_TITLED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 _COMMENT = re.compile(r"(?:^|\s)comment", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _KNOWN = BLOCKS | VOID | INLINE
+_ANNOTATION = re.compile(r"<(annotation(?:-xml)?)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+
+
+def _formula(source: str) -> str:
+    """The text of a formula, without the notes that aren't shown."""
+    return unescape(_TAG.sub("", _ANNOTATION.sub("", source)))
 
 
 def tokens(html: str) -> list[tuple[str, str, int]]:
@@ -90,12 +100,18 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            if name == "math" and end and "article" in blocks:
+                body = _formula(html[at : end.start()])
+                out[-1] = ("t", f"{block}\t{body}", len(body.split()))
+            else:
+                out.append(("</", name, 0))
             at = end.end() if end else len(html)
-            out.append(("</", name, 0))
         elif name not in VOID and not attributes.rstrip().endswith("/"):
-            pattern = _COMMENT if name == "article" else BOILERPLATE
-            marked = name not in ("html", "body", "main") and any(pattern.search(next(filter(None, x), "")) for x in _MARKS.findall(attributes))
-            if name in OMITTED or marked or name == "header" and not {"article", "main"} & set(blocks):
+            inside = "article" in blocks
+            pattern = _COMMENT if name == "article" else _ALL_BOILERPLATE if inside else BOILERPLATE
+            marks = [next(filter(None, x), "") for k, *x in _MARKS.findall(attributes) if not (inside and name in _TITLED and k.lower() == "id")]
+            marked = name not in ("html", "body", "main") and any(map(pattern.search, marks))
+            if name in OMITTED and not (inside and name == "figcaption") or marked or name == "header" and not {"article", "main"} & set(blocks):
                 if lower is None:
                     lower = html.lower()
                 if lower.find(f"</{name}", at) >= 0:
