@@ -34,7 +34,7 @@ WINDOW = 35
 ANCHOR = 8
 KEPT = 500_000
 _BASE = 0x9E3779B97F4A7C15
-#: A place is start << 33 | windows << 27 | the text's tag, which tells apart rows with one id.
+#: A place is start << 33 | windows << 27 | the text's tag, which with the row's 64-bit key tells apart rows with one id.
 TAG_BITS, COUNT_BITS = 27, 6
 OUTPUTS = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}
 
@@ -105,8 +105,10 @@ def _tag(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
+    """The texts with a key of 64 bits, of id and text, and a tag by another hash: 91 bits tell rows apart."""
     body = F.col(text).cast("binary")
-    return docs.select(*more, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__doc"), _tag(body).alias("__tag"), body.alias("__text"))
+    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), body)
+    return docs.select(*more, key.alias("__doc"), _tag(body).alias("__tag"), body.alias("__text"))
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
