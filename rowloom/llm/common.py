@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are maximal runs of anything but these: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Least time between two runs of the garbage collectors.
+RELEASE_SECONDS = 3.0
+_released = 0.0
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -47,9 +51,14 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle and checkpoint files of frames that nothing refers to any more.
 
     It learns of them from the garbage collectors of Python and the driver, which else run too seldom for large files.
+    Small tables follow each other fast, so the collectors run once in a few seconds.
     """
+    global _released
+    if time.monotonic() - _released < RELEASE_SECONDS:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def stored(df: DataFrame) -> DataFrame:
