@@ -3,20 +3,23 @@
 Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit blocks at least. So each of the four
 rotations that put a block on top makes a trie whose node pairs can be pruned at once where their top 16 bits differ;
 what is left is one subtrie a block value, joined with itself in one task. The join goes down in node pairs, adds the
-bits in which they differ, and drops a pair when its error budget is exceeded. Subtries with very many fingerprints are
-split further by Spark into the pairs of their nodes 8 bits down. A task returns a spanning forest of its links.
+bits in which they differ, and drops a pair when its error budget is exceeded. Where a subtrie has very many fingerprints
+its lower bits are cut into four blocks again, each of which turns to the top in one of four copies, and so on: subtries
+get deeper where there are more fingerprints, and 52 shared bits leave no more than 4,096 of them. A task returns a
+spanning forest of its links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.llm.common import cut, prepare, words
 from rowloom.llm.components import Forest, components
@@ -25,8 +28,10 @@ from rowloom.llm.runs import whole_groups
 SHINGLE = 3
 BITS = 3
 SEED = 42
-#: A subtrie with more fingerprints is split into node pairs.
+#: A subtrie with more fingerprints is split further.
 HOT = 20_000
+#: Tables of large subtries up to this many rows are broadcast.
+FEW = 10_000
 #: Node pairs that a task holds at once.
 FRONTIER = 1 << 18
 CHUNK_ROWS = 100_000
@@ -52,17 +57,18 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every text as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
+    """(doc_id, fp, and the columns ``more``): the fingerprint of every text as a signed long."""
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), *(c.alias(n) for n, c in more.items()))
+    schema = T.StructType([chosen.schema["doc_id"], T.StructField("fp", T.LongType()), *(chosen.schema[n] for n in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], schema.names)
 
     prepare(docs.sparkSession)
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return chosen.mapInArrow(run, schema)
 
 
 def join_tries(values: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,6 +115,24 @@ def join_tries(values: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bi
         stack.append((d + 1, *(x[keep].astype(x.dtype) for x in children)))
 
 
+def _deeper(rows: DataFrame, depth: int) -> DataFrame:
+    """Each row once for each of four blocks of the bits below ``depth``, with the bits turned so that the block is next.
+
+    Values within three bits that agree above ``depth`` agree in one of the blocks too.
+    """
+    below, width = 64 - depth, (64 - depth) // 4
+    low = (1 << below) - 1 if below < 64 else -1
+    value, kept = F.col("value"), F.col("value").bitwiseAND(F.lit(~low))
+
+    def turned(by: int) -> Column:
+        rest = value.bitwiseAND(F.lit(low))
+        return kept.bitwiseOR(F.shiftleft(rest, by).bitwiseAND(F.lit(low))).bitwiseOR(F.shiftrightunsigned(rest, below - by)) if by else value
+
+    four = F.explode(F.array(*(F.struct((F.col("trail") * 4 + r).alias("trail"), turned(r * width).alias("value")) for r in range(4))))
+    found = rows.select("fp", four.alias("t")).select("fp", "t.trail", "t.value")
+    return found.withColumn("node", F.shiftrightunsigned("value", below - width))
+
+
 def near_links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect all that are within ``bits`` <= 3 bits.
 
@@ -116,68 +140,71 @@ def near_links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame
     """
     if not 0 <= bits <= 3:
         raise ValueError("four blocks are exact for up to 3 differing bits")
-    fp = F.col("fp")
-    turned = F.explode(F.array(*(F.struct(F.lit(r).alias("turn"), (F.shiftleft(fp, 16 * r).bitwiseOR(F.shiftrightunsigned(fp, 64 - 16 * r)) if r else fp).alias("value")) for r in range(4))))
-    rows = prints.select(turned.alias("t")).select("t.turn", "t.value").withColumn("block", F.shiftrightunsigned("value", 48).cast("int"))
-    big = rows.groupBy("turn", "block").count().where(F.col("count") > hot).select(F.col("turn").alias("h_turn"), F.col("block").alias("h_block"))
-    marked = rows.join(big, (F.col("turn") == F.col("h_turn")) & (F.col("block") == F.col("h_block")), "left")
-    masks = [sum(1 << i for i in c) for k in range(bits + 1) for c in combinations(range(8), k)]
-    node = F.shiftrightunsigned("value", 40).bitwiseAND(F.lit(255)).cast("int")
-    partners = F.when(F.col("h_turn").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.array(*map(F.lit, masks)), lambda m: node.bitwiseXOR(m)))
-    spread = marked.select("turn", "block", "value", node.alias("node"), F.explode(partners).alias("partner"))
-    low = F.when(F.col("partner") < 0, -1).otherwise(F.least("node", "partner"))
-    high = F.when(F.col("partner") < 0, -1).otherwise(F.greatest("node", "partner"))
-    spread = spread.select("turn", "block", low.alias("low"), high.alias("high"), "value")
-    keys = ["turn", "block", "low", "high"]
+    rows, depth, cold = _deeper(prints.select("fp", F.lit(1).cast("long").alias("trail"), F.col("fp").alias("value")), 0), 16, []
+    while True:
+        large = rows.groupBy("trail", "node").count().where(F.col("count") > hot).select(F.col("trail").alias("h_trail"), F.col("node").alias("h_node"))
+        if not (64 - depth) // 4 or not (number := (large := cut(large)).count()):
+            break
+        marked = rows.join(F.broadcast(large) if number <= FEW else large, (F.col("trail") == F.col("h_trail")) & (F.col("node") == F.col("h_node")), "left")
+        cold.append(marked.where("h_node IS NULL").select(rows.columns))
+        rows = cut(_deeper(marked.where("h_node IS NOT NULL"), depth))
+        depth += (64 - depth) // 4
+    keys = ["trail", "node"]
     unsigned = F.col("value").bitwiseXOR(F.lit(-(1 << 63)))
-    ordered = spread.repartition(*keys).sortWithinPartitions(*keys, unsigned)
+    ordered = reduce(DataFrame.union, [*cold, rows]).repartition(*keys).sortWithinPartitions(*keys, unsigned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, keys, CHUNK_ROWS):
-            values = table.column("value").to_numpy().view(np.uint64)
-            low, high = table.column("low").to_numpy()[at[:-1]], table.column("high").to_numpy()[at[:-1]]
-            node = ((values >> np.uint64(40)) & np.uint64(255)).astype(np.int32)
-            before = np.concatenate(([0], np.cumsum(node == np.repeat(low, np.diff(at)))))
-            split = low != high
-            middle = np.where(split, at[:-1] + before[at[1:]] - before[at[:-1]], at[1:])
+            values, fp = table.column("value").to_numpy().view(np.uint64), table.column("fp").to_numpy()
             start, end = at[:-1], at[1:]
-            roots = tuple(np.asarray(x, np.int64) for x in (start, middle, np.where(split, middle, start), end))
-            some = (roots[0] < roots[1]) & (roots[2] < roots[3]) & (end - start > 1)
+            some = end - start > 1
             forest = Forest(len(values))
-            for a, b in join_tries(values, tuple(x[some] for x in roots), 16, bits):
+            for a, b in join_tries(values, (start[some], end[some], start[some], end[some]), 16, bits):
                 forest.link(a, b)
             child = np.flatnonzero(forest.label != np.arange(len(values)))
-            turn = table.column("turn").to_numpy()[child].astype(np.uint64) * np.uint64(16)
-            back = lambda v: np.where(turn > 0, (v >> turn) | (v << ((np.uint64(64) - turn) & np.uint64(63))), v).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(back(values[child])), pa.array(back(values[forest.label[child]]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[forest.label[child]])], ["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _classes(prints: DataFrame, least: Column, bits: int) -> DataFrame:
+    """(l_fp, first): every fingerprint with the least value of its class."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("own")))
+    found = components(near_links(distinct.select("fp"), bits))
+    labelled = cut(distinct.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("l_fp"), "own", F.coalesce("component", "fp").alias("component")))
+    firsts = cut(labelled.groupBy(F.col("component").alias("f_component")).agg(F.min("own").alias("first")))
+    return labelled.join(firsts, F.col("component") == F.col("f_component")).select("l_fp", "first")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): documents in classes of fingerprints linked at ``bits`` or fewer differing bits.
 
-    component_id is the smallest doc_id reachable by links, itself included. Texts that are null, empty or only white
-    space have fingerprint zero and are linked like any other. Rows that repeat an id or a text each give a row; a null
-    id gives a row too and is never a component's id unless all are null. An empty table gives no rows. Other columns
-    of ``docs``, whatever their names, are not read. Copies are one fingerprint, so a group of copies is one trie leaf.
+    component_id is the smallest doc_id reachable by links, itself included; ids may be of any type that has an order.
+    Texts that are null, empty or only white space have fingerprint zero and are linked like any other. Rows that repeat
+    an id or a text each give a row; a null id gives a row too and is never a component's id unless all are null. An
+    empty table gives no rows. Other columns of ``docs``, whatever their names, are not read. Copies are one
+    fingerprint, so a group of copies is one trie leaf.
     """
     prints = cut(fingerprints(docs, doc_id, text))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(near_links(distinct.select("fp"), bits))
-    labelled = cut(distinct.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("l_fp"), "first", F.coalesce("component", "fp").alias("component")))
-    firsts = cut(labelled.groupBy(F.col("component").alias("f_component")).agg(F.min("first").alias("component_id")))
-    ids = labelled.join(firsts, F.col("component") == F.col("f_component")).select("l_fp", "component_id")
-    return prints.join(ids, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
+    classes = _classes(prints, F.col("doc_id"), bits)
+    return prints.join(classes, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is their class's component_id: one document of each class of near copies.
+    """One row of each class of near copies, with the columns of ``docs``: that of the smallest id.
 
-    Of rows that repeat such an id one stays. Rows with a null id stay only as one row if all of their class are so.
+    Rows with a null id come after all others. Of a class's rows that share its smallest id the one whose columns have
+    the least 64-bit hash stays (columns that hold maps are left out of it); equal rows are one. So classes never lose
+    their last row, however often ids repeat. An empty table gives no rows.
     """
-    found = cut(near_duplicates(docs, doc_id, text, bits))
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(ids, F.col(doc_id).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([doc_id]) if again else kept
+    whole = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    prints = cut(fingerprints(docs, doc_id, text, row=whole))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    chosen = cut(_classes(prints, rank, bits).select(F.col("first.id").alias("__kept_id"), F.col("first.row").alias("__kept_row")).distinct())
+    on = F.col(f"`{doc_id}`").eqNullSafe(F.col("__kept_id")) & (F.col("__row") == F.col("__kept_row"))
+    kept = docs.withColumn("__row", whole).join(chosen, on, "left_semi")
+    equal = prints.groupBy("doc_id", "row").count().where("count > 1")
+    equal = cut(equal.join(chosen, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("row") == F.col("__kept_row")), "left_semi").select(F.col("doc_id").alias("__kept_id"), F.col("row").alias("__kept_row")))
+    if not equal.isEmpty():
+        kept = kept.join(equal, on, "left_anti").unionByName(kept.join(equal, on, "left_semi").dropDuplicates([doc_id, "__row"]))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
