@@ -2,8 +2,10 @@
 
 Every word scores at least zero, by the block it stands in; every tag scores at most zero, by its name. The weights are
 log odds of standing inside or outside the article, counted over labelled pages. One scan finds the contiguous run of
-tokens with the largest sum. Inside it, elements that are never article text (menus, forms, notices, adverts and the
-like, by name or by class, id or role) are left out.
+tokens with the largest sum. Elements that are foreign to articles score nothing, so that a run neither grows into them nor
+breaks at them, and are left out of its text. Menus, forms, sidebars, comments and adverts are foreign by their names; all
+other classes and roles by the log odds of the words in them, with a few words counted beforehand against those that seldom
+mark article text (search, related and the like).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import prepare
 
-#: Labelled pages that the weights are counted on, at most: those of least hash.
+#: Pages with an article element that the weights are counted on, at most: those of least hash.
 MAX_LABELLED = 5_000
 #: Bounds of the score of a word and of a tag.
 WORD_CAP, TAG_CAP, TAG_LEAST = 2.0, 4.0, 0.1
@@ -38,17 +40,19 @@ BLOCKS = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "br", "cite", "code", "em", "font", "i", "img", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u"}
-#: Words in a class, id or role that mark an element as no part of the article.
-_WORDS = (
-    r"(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|comment-?list|cookies?|consent|contentinfo|disqus|footer|gdpr|legal|login|masthead|menu|modal|"
-    r"nav|navbar|navigation|newsletter|notices?|pagination|popups?|promos?|promotion|related|replies|responses|search|share|sharing|sidebars?|signup|social|sponsor(?:ed|s)?|subscribe|toolbar|widgets?)"
-)
-BOILERPLATE = re.compile(rf"(?:^|[\s_-])(?<!\bhas-)(?<!\bwith-)(?<!\bno-){_WORDS}(?:$|[\s_-])", re.I)
-#: Inside an article only names that have no other words mark an element.
-_ALL_BOILERPLATE = re.compile(rf"(?:^|\s){_WORDS}(?:[_-]{_WORDS})*(?:$|\s)", re.I)
+#: Words of a class, id or role that mark what is never article text, and those that labelled pages may overrule.
+_NEVER = r"ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|comment-?list|cookies?|consent|contentinfo|disqus|footer|gdpr|login|masthead|menu|nav|navbar|navigation|newsletter|pagination|popups?|replies|responses|sidebars?|signup|sponsor(?:ed|s)?|subscribe"
+_SELDOM = r"legal|modal|notices?|promos?|promotion|related|search|share|sharing|social|toolbar|widgets?"
+_MARK, _NOT = rf"(?:{_NEVER}|{_SELDOM})", r"(?<!\bhas-)(?<!\bwith-)(?<!\bno-)"
+#: A part of a name marks an element outside an article; inside, the name must have no other words.
+_PART = re.compile(rf"(?:^|[_-]){_NOT}{_MARK}(?:$|[_-])")
+_WHOLE = re.compile(rf"{_MARK}(?:[_-]{_MARK})*")
+_STRICT = re.compile(rf"(?:^|[_-]){_NOT}(?:{_NEVER})(?:$|[_-])")
+#: Words outside the article that count beforehand against a name that seldom marks article text (other names need as many
+#: words before they count), and the log odds below which an element is foreign.
+PRIOR_WORDS, FOREIGN = 20, -1.5
 #: Inside an article the ids of these are what links point at.
 _TITLED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
-_COMMENT = re.compile(r"(?:^|\s)comment", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _KNOWN = BLOCKS | VOID | INLINE
@@ -60,19 +64,52 @@ def _formula(source: str) -> str:
     return unescape(_TAG.sub("", _ANNOTATION.sub("", source)))
 
 
-def tokens(html: str) -> list[tuple[str, str, int]]:
-    """Tokens (kind, value, words): tags, texts (value: decoded, with the block it stands in before a tab) and omitted
-    elements' texts; kind is "<", "</", "t" or "-"."""
+def _marks(name: str, attributes: str, titled: bool) -> Iterator[tuple[bool, str]]:
+    """(whether it can be learnt, name) of the classes and roles of an element, and of its id."""
+    for kind, *values in _MARKS.findall(attributes):
+        if not (titled and kind.lower() == "id"):
+            for mark in next(filter(None, values), "").lower().split():
+                yield kind.lower() != "id", mark
+
+
+def foreign(name: str, attributes: str, within: list[str], weight: dict[tuple[str, str], float] | None) -> bool:
+    """Whether an element is foreign to articles; without weights only names that are so always count."""
+    if name in ("html", "body", "main"):
+        return False
+    inside = "article" in within
+    if name in OMITTED and not (inside and name == "figcaption") or name == "header" and not inside and "main" not in within:
+        return True
+    for learnt, mark in _marks(name, attributes, inside and name in _TITLED):
+        if name == "article":
+            if mark.startswith("comment"):
+                return True
+            continue
+        marked = (_WHOLE.fullmatch if inside else _PART.search)(mark)
+        if marked and _STRICT.search(mark):
+            return True
+        if weight is not None:
+            counts = [weight.get((where, mark), 0.0) if learnt else 0.0 for where in ("inside", "outside")]
+            if (marked or sum(counts) >= PRIOR_WORDS) and np.log((counts[0] + 0.5) / (counts[1] + 0.5 + (PRIOR_WORDS if marked else 0))) < FOREIGN:
+                return True
+    return False
+
+
+def tokens(html: str, weight: dict[tuple[str, str], float] | None = None) -> list[tuple[str, str, int]]:
+    """Tokens (kind, value, words): tags, texts (value: decoded, with the block it stands in before a tab) and texts of
+    foreign elements; kind is "<", "</", "t" or "-". Without weights, as labelled pages are counted, the classes and roles
+    of the blocks around follow the name of the block."""
     out: list[tuple[str, str, int]] = []
     at, block, skipped, depth = 0, "body", "", 0
     blocks: list[str] = []
+    marks: list[tuple[str, ...]] = []
     lower = None
 
     def text(upto: int) -> None:
         if upto > at:
             body = unescape(html[at:upto])
             if n := len(body.split()):
-                out.append(("-", body, n) if skipped else ("t", f"{block}\t{body}", n))
+                around = "" if weight is not None else "".join(f" {m}" for m in {m for each in marks for m in each})
+                out.append(("-", body, n) if skipped else ("t", f"{block}{around}\t{body}", n))
             elif not skipped:
                 out.append(("t", f"{block}\t ", 0))
 
@@ -95,7 +132,8 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
         if closing:
             if name in blocks:
                 while blocks.pop() != name:
-                    pass
+                    marks.pop()
+                marks.pop()
                 block = blocks[-1] if blocks else "body"
             continue
         if name in RAW:
@@ -107,11 +145,7 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
                 out.append(("</", name, 0))
             at = end.end() if end else len(html)
         elif name not in VOID and not attributes.rstrip().endswith("/"):
-            inside = "article" in blocks
-            pattern = _COMMENT if name == "article" else _ALL_BOILERPLATE if inside else BOILERPLATE
-            marks = [next(filter(None, x), "") for k, *x in _MARKS.findall(attributes) if not (inside and name in _TITLED and k.lower() == "id")]
-            marked = name not in ("html", "body", "main") and any(map(pattern.search, marks))
-            if name in OMITTED and not (inside and name == "figcaption") or marked or name == "header" and not {"article", "main"} & set(blocks):
+            if foreign(name, attributes, blocks, weight):
                 if lower is None:
                     lower = html.lower()
                 if lower.find(f"</{name}", at) >= 0:
@@ -119,7 +153,9 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
             elif name in BLOCKS:
                 if name == "p" and blocks and blocks[-1] == "p":
                     blocks.pop()
+                    marks.pop()
                 blocks.append(name)
+                marks.append(tuple(m for learnt, m in _marks(name, attributes, False) if learnt) if weight is None else ())
                 block = name
     if last >= 0 and (m := re.compile(r"<!--", re.S).search(html, at)):  # an open comment hides the rest
         html = html[: m.start()]
@@ -141,16 +177,20 @@ def label(html: str) -> Counter | None:
     for i, (kind, value, n) in enumerate(found):
         inside = ends[0] < i < ends[1]
         if kind == "t":
-            counts["word", value.partition("\t")[0], inside] += n
+            block, *around = value.partition("\t")[0].split(" ")
+            counts["word", block, inside] += n
+            for mark in around:
+                counts["mark", mark, inside] += n
         elif kind in ("<", "</"):
             counts["tag", _name(value), inside] += 1
     return counts
 
 
 def weights(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
-    """Scores of words by block, at least 0, and of tags by name, at most 0."""
-    out = {}
-    for kind, name in {k[:2] for k in counts}:
+    """Scores of words by block, at least 0, and of tags by name, at most 0; and the words inside and outside articles by
+    the classes and roles around them."""
+    out = {("inside" if k[2] else "outside", k[1]): float(n) for k, n in counts.items() if k[0] == "mark"}
+    for kind, name in {k[:2] for k in counts if k[0] != "mark"}:
         odds = np.log((counts.get((kind, name, True), 0) + 0.5) / (counts.get((kind, name, False), 0) + 0.5))
         out[kind, name] = min(WORD_CAP, max(0.0, odds)) if kind == "word" else -min(TAG_CAP, max(TAG_LEAST, -odds))
     return out
@@ -182,7 +222,7 @@ def extract(html: str | None, weight: dict[tuple[str, str], float]) -> str:
     """The main text of a page: its blocks joined by line ends."""
     if not html:
         return ""
-    found = tokens(html)
+    found = tokens(html, weight)
     scores = []
     for kind, value, n in found:
         if kind == "t":
@@ -204,9 +244,9 @@ def extract(html: str | None, weight: dict[tuple[str, str], float]) -> str:
 
 
 def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> dict[tuple[str, str], float]:
-    """Weights from at most MAX_LABELLED pages; pages without a label among them are passed over."""
+    """Weights from at most MAX_LABELLED of the pages that have an article element; those with several are passed over."""
     prepare(pages.sparkSession)
-    ids = pages.select(F.col(page_id).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(MAX_LABELLED)
+    ids = pages.where(F.col(html).cast("string").rlike(r"(?i)<article[\s>]")).select(F.col(page_id).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(MAX_LABELLED)
     chosen = pages.join(F.broadcast(ids), F.col(page_id) == F.col("__id")).select(F.col(html).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
