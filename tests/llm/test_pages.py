@@ -48,10 +48,21 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     assert {r["key"] for r in judged.where("held").collect()} == {r["key"] for r in listed.collect()}
 
 
-def test_a_list_beyond_the_bound_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(urls, "MAX_BITS", 100)
-    with pytest.raises(ValueError):
-        urls.Level(spark.range(50).selectExpr("CAST(id AS STRING) AS key"), 50, 0)
+def test_filters_beyond_the_literal_bound_are_met_shard_by_shard(spark, monkeypatch):
+    monkeypatch.setattr(urls, "LITERAL_SHARDS", 0)
+    monkeypatch.setattr(urls, "SHARD_BITS", 64)
+    monkeypatch.setattr(urls, "BITS_PER_KEY", 4)
+    universe = spark.range(3000).selectExpr("concat('h', id) AS key")
+    listed = universe.where("xxhash64(key) % 7 = 0").union(spark.range(50).selectExpr("concat('other', id) AS key"))
+    cascade = urls.Cascade(listed, universe)
+    assert not cascade.literal and cascade.levels[0].shards > 20
+    assert {r["key"] for r in cascade.listed(universe.union(listed).distinct()).collect()} == {r["key"] for r in listed.collect()}
+    long = "x" * 20_000
+    rows = [*PAGES, (20, f"http://spam-farm.example.com/{long}?{long}"), (21, f"http://{long}.spam-farm.example.com/")] + [(30, "http://hot.free-bets.example.com/")] * 500
+    pages = spark.createDataFrame([(i, u, "k", 2) for i, u in rows], "page_id long, url string, key string, host int")
+    names = spark.createDataFrame([(k,) for k in (*urls.LISTED, urls.LISTED[0], None)], "key string")
+    got = sorted(tuple(r)[:5] for r in urls.judge_urls(pages, names).where("page_id IS NOT NULL").collect())
+    assert got == sorted(((i, *reference(u)) for i, u in rows if i is not None), key=lambda r: (r[0], r[1]))
 
 
 def page(body, head="", around=""):
