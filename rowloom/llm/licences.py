@@ -12,6 +12,7 @@ with it. Templates are a constant of the plan: nothing is joined or shuffled.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from math import floor
 
@@ -82,13 +83,13 @@ def telling_words(prepared: list[tuple[str, list[str]]], share: float) -> list[s
 
 
 def _templates(prepared: list[tuple[str, list[str]]]) -> Column:
-    """An array of (licence, n, bigrams, counts): bigrams in order, and different ones with their numbers."""
+    """An array of (licence, n, bigrams, counts): bigrams in order, and different ones with their numbers. One literal,
+    which Spark folds; thousands of literals take it seconds to analyse."""
     rows = []
     for licence, words in prepared:
         grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
-        counts = F.array(*(F.struct(F.lit(g).alias("gram"), F.lit(c).alias("times")) for g, c in Counter(grams).items()))
-        rows.append(F.struct(F.lit(licence).alias("licence"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams"), counts.alias("counts")))
-    return F.array(*rows)
+        rows.append({"licence": licence, "n": len(grams), "grams": grams, "counts": [{"gram": g, "times": c} for g, c in Counter(grams).items()]})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<licence:string,n:int,grams:array<string>,counts:array<struct<gram:string,times:int>>>>")
 
 
 def _dice(grams: Column, template: Column) -> Column:
@@ -110,7 +111,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     prepared = _prepared(templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     telling = telling_words(prepared, low)
-    every = F.array(*map(F.lit, sorted({f"{a} {b}" for _, w in prepared for a, b in zip(w, w[1:])})))
+    every = F.from_json(F.lit(json.dumps(sorted({f"{a} {b}" for _, w in prepared for a, b in zip(w, w[1:])}))), "array<string>")
     nothing = F.array().cast("array<struct<dice:double,licence:string>>")
 
     def windows(grams: Column, t: Column) -> Column:
