@@ -10,9 +10,12 @@ hashes with its source coordinates. The joins then compact the repeated paths:
 3. At an anchor that branches, equal paths collapse into one; if there were several they are repeated as a whole. One
    representative of each distinct path is expanded, at its source coordinates, into its edges, which are matched.
 
-Repeated edges come back as (document, first window, windows); the spans of a document are their union. Hashes are 64
-bits of the anchor and 64 of the path or edge together. A common passage is one aggregate row a task, and Spark can split
-the joins that bring its occurrences back.
+Repeated edges come back as (document, first window, windows); the spans of a document are their union. A common passage is
+one aggregate row a task, and Spark can split the joins that bring its occurrences back.
+
+Hashes only propose. At the source coordinates the words themselves are read again, and every occurrence of a repeated path
+or edge must have the same 128-bit BLAKE2 digest of its words. Where a group has two digests, hashes have collided: all
+windows of its anchor are then compared by their digests, and only those stay that two places have.
 """
 
 from __future__ import annotations
@@ -75,14 +78,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Sequence:
-    """Hashes of all word ranges of a document in constant time each."""
+    """Hashes of all word ranges of a document in constant time each; ``bits`` below 64 are for tests of collisions."""
 
-    def __init__(self, hashes: np.ndarray, powers: Powers):
+    def __init__(self, hashes: np.ndarray, powers: Powers, bits: int = 64):
         self.up, down = powers.to(len(hashes))
+        self.mask = np.uint64((1 << bits) - 1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * down[: len(hashes)], dtype=np.uint64)))
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
+        return _mix((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64) * np.uint64(_BASE)) & self.mask
 
 
 def paths(seq: Sequence, n: int, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -107,7 +111,7 @@ def _tag(text: Column) -> Column:
 def _keyed(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
     """The texts with a key of 64 bits, of id and text, and a tag by another hash: 91 bits tell rows apart."""
     body = F.col(text).cast("binary")
-    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), body)
+    key = F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), body)
     return docs.select(*more, key.alias("__doc"), _tag(body).alias("__tag"), body.alias("__text"))
 
 
@@ -131,7 +135,7 @@ def _unpacked(column: pa.Array) -> Iterator[bytes | None]:
         yield None if packed is None else unpack(packed)
 
 
-def _paths_of(keyed: DataFrame, k: int, m: int) -> DataFrame:
+def _paths_of(keyed: DataFrame, k: int, m: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, powers = WordHashes(), Powers()
         for batch in batches:
@@ -139,7 +143,7 @@ def _paths_of(keyed: DataFrame, k: int, m: int) -> DataFrame:
             for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = words(text.as_py())
                 if len(found) >= k:
-                    anchor, path, first, count = paths(Sequence(table.of(found), powers), len(found), k, m)
+                    anchor, path, first, count = paths(Sequence(table.of(found), powers, bits), len(found), k, m)
                     parts.append((anchor.view(np.int64), path.view(np.int64), np.full(len(first), doc), first << (TAG_BITS + COUNT_BITS) | count << TAG_BITS | tag))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["anchor", "path", "doc", "place"])
@@ -147,7 +151,7 @@ def _paths_of(keyed: DataFrame, k: int, m: int) -> DataFrame:
     return keyed.select("__doc", "__tag", "__text").mapInArrow(run, "anchor long, path long, doc long, place long")
 
 
-def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int) -> DataFrame:
+def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int, bits: int) -> DataFrame:
     """The edges (anchor, edge, doc, place) of chosen paths (doc, place, single); single tells that it occurs once."""
     listed = chosen.groupBy(F.col("doc").alias("c_doc"), F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("c_tag")).agg(
         F.collect_set(F.shiftright("place", TAG_BITS) * 2 + F.col("single").cast("long")).alias("places"))
@@ -158,7 +162,7 @@ def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int) -> DataFrame:
             parts = []
             for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), batch.column(3)):
                 found = words(text)
-                seq = Sequence(table.of(found), powers)
+                seq = Sequence(table.of(found), powers, bits)
                 places = places.values.to_numpy()
                 first, count, single = places >> (COUNT_BITS + 1), places >> 1 & ((1 << COUNT_BITS) - 1), places & 1
                 rows = np.repeat(np.arange(len(places)), count)
@@ -173,9 +177,10 @@ def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int) -> DataFrame:
     return joined.select("__doc", "__tag", "__text", "places").mapInArrow(run, "anchor long, edge long, doc long, place long, single boolean")
 
 
-def repeated(keyed: DataFrame, k: int, m: int) -> DataFrame:
-    """(doc, place) of runs of repeated windows."""
-    found = cut(_paths_of(keyed, k, m))
+def repeated(keyed: DataFrame, k: int, m: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(doc, place, anchor, code, own) of runs of windows whose hashes repeat, in groups by anchor and code, and all paths
+    (doc, place, anchor) whose anchor repeats. Rows that aren't ``own`` only stand for their group."""
+    found = cut(_paths_of(keyed, k, m, bits))
     counted = (F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high"))
     anchors = cut(found.groupBy("anchor").agg(*counted).where("n > 1").select(F.col("anchor").alias("a_anchor"), (F.col("low") != F.col("high")).alias("branches")))
     known = cut(found.join(anchors, F.col("anchor") == F.col("a_anchor")).drop("a_anchor"))
@@ -183,16 +188,54 @@ def repeated(keyed: DataFrame, k: int, m: int) -> DataFrame:
     branching = known.where("branches").select("anchor", "path", "doc", "place")
     distinct = cut(branching.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one")))
     several = distinct.where("n > 1").select(F.col("anchor").alias("s_anchor"), F.col("path").alias("s_path"))
-    whole = branching.join(several, (F.col("anchor") == F.col("s_anchor")) & (F.col("path") == F.col("s_path"))).select("doc", "place")
+    whole = branching.join(several, (F.col("anchor") == F.col("s_anchor")) & (F.col("path") == F.col("s_path")))
     del several
     chosen = distinct.select("one.doc", "one.place", (F.col("n") == 1).alias("single"))
-    edges = cut(_edges_of(keyed, chosen, k, m))
+    edges = cut(_edges_of(keyed, chosen, k, m, bits))
     del chosen, distinct
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc", "place") for f in (F.min, F.max)]
     different = "min_doc != max_doc OR min_place != max_place"
     shared = cut(edges.groupBy("anchor", "edge").agg(*ends).where(different).select(F.col("anchor").alias("e_anchor"), F.col("edge").alias("e_edge")))
-    matched = edges.where("single").join(shared, (F.col("anchor") == F.col("e_anchor")) & (F.col("edge") == F.col("e_edge"))).select("doc", "place")
-    return known.where("NOT branches").select("doc", "place").unionByName(whole).unionByName(matched)
+    matched = edges.join(shared, (F.col("anchor") == F.col("e_anchor")) & (F.col("edge") == F.col("e_edge")))
+    runs = [df.select("doc", "place", "anchor", F.col("path").alias("code"), F.lit(True).alias("own")) for df in (known.where("NOT branches"), whole)]
+    return runs[0].unionByName(runs[1]).unionByName(matched.select("doc", "place", "anchor", F.col("edge").alias("code"), F.col("single").alias("own"))), known.select("doc", "place", "anchor")
+
+
+def _digests(joined: DataFrame, k: int, each: bool) -> DataFrame:
+    """(anchor, code, high, low) of the words of every listed run; with ``each`` of every window of the runs, whose code is
+    its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), batch.column(3)):
+                found = words(text)
+                for p in places.values.to_pylist():
+                    first, count = p["place"] >> COUNT_BITS, p["place"] & ((1 << COUNT_BITS) - 1)
+                    for start, size in ((i, 1) for i in range(first, first + count)) if each else ((first, count),):
+                        if start + size - 1 + k <= len(found):
+                            digest = hashlib.blake2b(b" ".join(found[start : start + size - 1 + k]), digest_size=16).digest()
+                            place = start << (TAG_BITS + COUNT_BITS) | 1 << TAG_BITS | tag
+                            rows.append((p["anchor"], place if each else p["code"], doc, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "code", "doc", "high", "low"])
+
+    listed = joined.where("__places IS NOT NULL").select("__doc", "__tag", "__text", "__places")
+    return listed.mapInArrow(run, "anchor long, code long, doc long, high long, low long")
+
+
+def _joined(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """The texts, compressed, with their places."""
+    one = F.struct(F.shiftright("place", TAG_BITS).alias("place"), "anchor", "code", "own")
+    listed = places.groupBy(F.col("doc").alias("p_doc"), F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("p_tag")).agg(F.collect_set(one).alias("__places"))
+    return _packed(keyed).join(listed, (F.col("__doc") == F.col("p_doc")) & (F.col("__tag") == F.col("p_tag")), how).drop("p_doc", "p_tag")
+
+
+def own_places(listed: pa.Scalar) -> np.ndarray | None:
+    """Start << COUNT_BITS | windows of the listed runs that are to go."""
+    if not listed.is_valid:
+        return None
+    return listed.values.field("place").to_numpy()[listed.values.field("own").to_numpy(zero_copy_only=False)]
 
 
 def removed_words(n: int, places: np.ndarray | None, k: int) -> np.ndarray:
@@ -221,26 +264,39 @@ def cut_words(text: bytes, found: list[bytes], removed: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _with_places(docs: DataFrame, doc_id: str, text: str, window: int, anchor: int, *more: str) -> DataFrame:
+def _with_places(docs: DataFrame, doc_id: str, text: str, window: int, anchor: int, *more: str, bits: int = 64) -> DataFrame:
+    """The texts with the verified places of their repeated windows."""
     if not 1 <= anchor <= window or window - anchor + 1 >= 1 << COUNT_BITS:
         raise ValueError("the anchor must be shorter than the window, by less than 63 words")
-    keyed = _keyed(docs, doc_id, text, *more)
-    places = repeated(_keyed(docs, doc_id, text), window, anchor)
-    listed = places.groupBy(F.col("doc").alias("p_doc"), F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("p_tag")).agg(F.collect_set(F.shiftright("place", TAG_BITS)).alias("__places"))
-    return _packed(keyed).join(listed, (F.col("__doc") == F.col("p_doc")) & (F.col("__tag") == F.col("p_tag")), "left").drop("p_doc", "p_tag")
-
-
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, spans: bool = False) -> DataFrame:
+    keyed, bare = _keyed(docs, doc_id, text, *more), _keyed(docs, doc_id, text)
+    places, known = repeated(bare, window, anchor, bits)
+    joined = cut(_joined(keyed, places, "left"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("high", "low") for f in (F.min, F.max)]
+    wrong = cut(_digests(joined, window, False).groupBy("anchor", "code").agg(*ends).where("min_high != max_high OR min_low != max_low").select(F.col("anchor").alias("w_anchor")).distinct())
+    if wrong.isEmpty():
+        return joined
+    del joined
+    on = F.col("anchor") == F.col("w_anchor")
+    doubtful = known.join(wrong, on, "left_semi").select("*", F.lit(0).cast("long").alias("code"), F.lit(True).alias("own"))
+    windows = cut(_digests(_joined(bare, doubtful, "inner"), window, True))
+    same = windows.groupBy(*(F.col(c).alias(f"s_{c}") for c in ("anchor", "high", "low"))).count().where("count > 1").drop("count")
+    true = windows.join(same, (F.col("anchor") == F.col("s_anchor")) & (F.col("high") == F.col("s_high")) & (F.col("low") == F.col("s_low")))
+    true = true.select("doc", F.col("code").alias("place"), "anchor", F.lit(0).cast("long").alias("code"), F.lit(True).alias("own"))
+    return cut(_joined(keyed, places.join(wrong, on, "left_anti").unionByName(true), "left"))
+
+
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, spans: bool = False, hash_bits: int = 64) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space), and with
     ``spans`` the removed spans as an array of (start, end) word positions.
 
     A word goes if it lies in a window of ``window`` words whose sequence also starts anywhere else, in this document or
     another. Windows are judged on the input. A null or empty text has no words; a text shorter than a window loses
     none. Rows that repeat an id, or an id and a text, are documents of their own (equal rows repeat each other). A null
-    id gives a null id. An empty table gives no rows. Other columns of ``docs``, whatever their names, are not read.
+    id gives a null id; ids may be of any type that can be hashed. An empty table gives no rows. Other columns of
+    ``docs``, whatever their names, are not read. ``hash_bits`` below 64 are for tests of collisions.
     """
     prepare(docs.sparkSession)
-    joined = _with_places(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", window, anchor, "doc_id")
+    joined = _with_places(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", window, anchor, "doc_id", bits=hash_bits)
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +304,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rows = []
             for text, places in zip(_unpacked(batch.column(1)), batch.column(2)):
                 found = words(text)
-                gone = removed_words(len(found), places.values.to_numpy() if places.is_valid else None, window)
+                gone = removed_words(len(found), own_places(places), window)
                 row = [len(found), int(gone.sum()), hashlib.sha256(b" ".join(compress(found, ~gone))).hexdigest()]
                 if spans:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
@@ -266,7 +322,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents with the removed words cut out of ``text``; the rest of a text keeps its white space.
 
     All columns stay; ``n_chars``, if there is such a column, is the length of the new text. Every row stays, even one
-    that loses all its words; a null text stays null.
+    that loses all its words; a null text stays null. Ids may be null, repeated and of any type that can be hashed.
     """
     prepare(docs.sparkSession)
     joined = _with_places(docs, doc_id, text, window, anchor, *docs.columns)
@@ -278,7 +334,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for body, places in zip(_unpacked(batch.column(len(names))), batch.column(len(names) + 1)):
                 if body is not None and places.is_valid:
                     found = words(body)
-                    body = cut_words(body, found, removed_words(len(found), places.values.to_numpy(), window))
+                    body = cut_words(body, found, removed_words(len(found), own_places(places), window))
                 texts.append(body)
             columns = {c: batch.column(k) for k, c in enumerate(names)}
             columns[text_name] = pa.array([t if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())
