@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
+import sys
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 from functools import reduce
+from pathlib import Path
+from types import ModuleType
 from typing import Any
 
 from pyspark import StorageLevel
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +28,7 @@ from rowloom.plans import domain as D
 from rowloom.plans.graph import GraphError, Node, Output, make_op, order
 from rowloom.plans.lower import Lowering, Performance
 from rowloom.session import importable
-from rowloom.sources.catalog import Catalog, Entry, ExternalSink, NamedStream, StoredStream, StreamBatch
+from rowloom.sources.catalog import Catalog, Entry, ExternalSink, NamedStream, StoredStream, StreamBatch, Table
 
 
 class CacheMode(Enum):
@@ -35,9 +41,10 @@ class CacheMode(Enum):
 
 @dataclass
 class Profile:
-    """Named wall-clock intervals of a job, in seconds since the epoch."""
+    """Named wall-clock intervals of a job, in seconds since the epoch: of the driver, and of the tasks by executor."""
 
     intervals: list[tuple[str, float, float]] = field(default_factory=list)
+    tasks: list[tuple[str, str, float, float]] = field(default_factory=list)
 
     @contextmanager
     def span(self, name: str) -> Iterator[None]:
@@ -47,19 +54,34 @@ class Profile:
         finally:
             self.intervals.append((name, start, time.time()))
 
+    def collect_tasks(self, spark: SparkSession, group: str, most: int = 10_000) -> None:
+        """Add the tasks of a job group (at most so many a stage), as Spark's status store holds them: (executor, stage,
+        start, end)."""
+        context = spark.sparkContext
+        store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+        for job in tracker.getJobIdsForGroup(group):
+            for stage in tracker.getJobInfo(job).stageIds if tracker.getJobInfo(job) else ():
+                found = store.taskList(stage, 0, most)
+                for i in range(found.size()):
+                    task = found.apply(i)
+                    if task.duration().isDefined():
+                        start = task.launchTime().getTime() / 1000
+                        self.tasks.append((task.executorId(), f"stage {stage}", start, start + task.duration().get() / 1000))
+
     def total_time_interval(self) -> tuple[float, float]:
         return (min(i[1] for i in self.intervals), max(i[2] for i in self.intervals)) if self.intervals else (0.0, 0.0)
 
     def statistics(self) -> dict[str, float]:
-        """Seconds by name."""
+        """Seconds by name; those of tasks as "executor: stage"."""
         out: dict[str, float] = {}
-        for name, a, b in self.intervals:
+        for name, a, b in [*self.intervals, *((f"{e}: {n}", a, b) for e, n, a, b in self.tasks)]:
             out[name] = out.get(name, 0.0) + b - a
         return out
 
     def write_trace(self, path: str) -> None:
-        """A trace that browsers' trace viewers open."""
-        events = [{"name": n, "ph": "X", "ts": a * 1e6, "dur": (b - a) * 1e6, "pid": 0, "tid": 0} for n, a, b in self.intervals]
+        """A trace that browsers' trace viewers open, with a process for each executor."""
+        events = [{"name": n, "ph": "X", "ts": a * 1e6, "dur": (b - a) * 1e6, "pid": "driver", "tid": 0} for n, a, b in self.intervals]
+        events += [{"name": n, "ph": "X", "ts": a * 1e6, "dur": (b - a) * 1e6, "pid": f"executor {e}", "tid": n} for e, n, a, b in self.tasks]
         with open(path, "w") as f:
             json.dump({"traceEvents": events}, f)
 
@@ -213,11 +235,32 @@ class Client:
         """The lazy DataFrame of a column: stream_id [, slice_id], row_id and the value."""
         return self.lower([output.node], performance).frame(output, name)
 
-    def run(self, outputs: Node | list[Node], performance: Performance | None = None, cache_mode: CacheMode = CacheMode.ERROR, detach: bool = False) -> str | None:
+    def table(self, name: str) -> Table:
+        """A stream of the catalog with all its columns."""
+        return Table(self.catalog, name)
+
+    def load_op(self, path: str) -> ModuleType:
+        """Run a Python file that registers operations; executors get it by value with the kernels, so they need no copy."""
+        spec = importlib.util.spec_from_file_location(f"loaded_{Path(path).stem}", path)
+        if spec is None or spec.loader is None:
+            raise GraphError(f"{path} is no Python file")
+        module = importlib.util.module_from_spec(spec)
+        sys.modules[spec.name] = module
+        spec.loader.exec_module(module)
+        return self.register_module(module)
+
+    def register_module(self, module: ModuleType) -> ModuleType:
+        """Send a module to executors by value, with the operations that it registers."""
+        register_pickle_by_value(module)
+        return module
+
+    def run(self, outputs: Node | list[Node], performance: Performance | None = None, cache_mode: CacheMode = CacheMode.ERROR, detach: bool = False, task_timeout: float | None = None) -> str | None:
         """Run sinks as one job and return its id, or None if all outputs are there already.
 
-        A stream with an element that its kernel failed on is left uncommitted; the others are committed. IGNORE skips
-        streams that are committed; leftovers of failed runs are written anew.
+        A stream with an element that its kernel failed on, or whose task took more than ``task_timeout`` seconds, is left
+        uncommitted (not written, if its sink is external) and reported with the job; the others are committed. So is a
+        stream whose kernel ends its worker. IGNORE skips streams that are committed; leftovers of failed runs are written
+        anew. External sinks have no cache modes.
         """
         sinks = outputs if isinstance(outputs, list) else [outputs]
         if not sinks or any(not isinstance(n, Node) or n.kind != "sink" for n in sinks):
@@ -225,21 +268,16 @@ class Client:
         names = [s.name for n in sinks for s in n.spec["streams"]]
         if not all(names) or len(set(names)) < len(names):
             raise GraphError("every output stream needs a name of its own")
+        if task_timeout is not None:
+            performance = replace(performance or Performance(), task_timeout=task_timeout)
         low = self.lower(sinks, performance)
-        external = [n for n in sinks if isinstance(n.spec["streams"][0], ExternalSink)]
         for n in sinks:
             if len(n.spec["streams"]) != low.streams:
                 raise GraphError(f"an Output has {len(n.spec['streams'])} streams for {low.streams} inputs")
-        for n in external:
-            df = low.with_errors(n.inputs[0], "column")
-            for i, s in enumerate(n.spec["streams"]):
-                s.write(df.where((F.col("stream_id") == i) & F.col("__error").isNull()).select("row_id", "column"))
-        sinks = [n for n in sinks if n not in external]
-        if not sinks:
-            return None
-        if len({n.spec["streams"][0].catalog.warehouse for n in sinks}) > 1:
+        stored = [n for n in sinks if not isinstance(n.spec["streams"][0], ExternalSink)]
+        if len({n.spec["streams"][0].catalog.warehouse for n in stored}) > 1:
             raise GraphError("all outputs of a job go to one warehouse")
-        skip = self._cached(sinks, cache_mode)
+        skip = self._cached(stored, cache_mode) if stored else set()
         todo = [i for i in range(low.streams) if i not in skip]
         if not todo:
             return None
@@ -270,47 +308,104 @@ class Client:
         return done[0] if done else set()
 
     def _guarded(self, job: Job, sinks: list[Node], low: Lowering, todo: list[int]) -> None:
+        context = self.spark.sparkContext
+        context.setJobGroup(job.id, f"job {job.id}")
         try:
             with job.profile.span("job"):
                 self._execute(job, sinks, low, todo)
             job.status = "done"
         except BaseException as e:
             job.status, job.error = "failed", e
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+            context.setLocalProperty("spark.job.description", None)
+            job.profile.collect_tasks(self.spark, job.id)
 
     def _execute(self, job: Job, sinks: list[Node], low: Lowering, todo: list[int]) -> None:
-        """Write every sink to a folder of the job, look for failed streams, then commit the rest."""
-        catalog: Catalog = sinks[0].spec["streams"][0].catalog
+        """Write every sink, look for failed streams, then commit the rest."""
+        low = low.narrowed(todo)
         shared = [f for f in {id(low.families[n.inputs[0].node.id]): low.families[n.inputs[0].node.id] for n in sinks}.values() if low.python and len(sinks) > 1]
         for f in shared:
             f.df.persist(StorageLevel.DISK_ONLY)
-        for k, node in enumerate(sinks):
-            column, root = node.inputs[0], f"{catalog.warehouse}/streams/{job.id}-{k}"
-            df = low.with_errors(column, "column")
-            kind = dict(df.dtypes)["column"]
-            op = column.node.spec.get("op")
-            element = op.outputs[column.index][1].name if op and op.outputs[column.index][1] else ""
+        try:
+            for k, node in enumerate(sinks):
+                if isinstance(node.spec["streams"][0], ExternalSink):
+                    self._send(job, node, low, todo, k)
+                else:
+                    self._store(job, node, low, todo, k)
+        finally:
+            for f in shared:
+                f.df.unpersist()
+
+    def _apart(self, job: Job, node: Node, todo: list[int], work: Callable[[list[int]], None]) -> None:
+        """Do ``work`` for streams. If Spark gives up on it, as when a kernel ends its worker, halves of the streams go by
+        themselves, until those are found that can't be done: they are reported."""
+        try:
+            work(todo)
+        except Exception as e:
+            if isinstance(e, AnalysisException) or type(e).__module__.split(".")[0] not in ("py4j", "pyspark"):
+                raise
+            if len(todo) == 1:
+                job.failed[node.spec["streams"][todo[0]].name] = str(e).split("\n")[0]
+                return
+            for half in (todo[: len(todo) // 2], todo[len(todo) // 2 :]):
+                self._apart(job, node, half, work)
+
+    @staticmethod
+    def _errors(df: DataFrame) -> dict[int, str]:
+        """The first error of each stream that has one."""
+        return {r["stream_id"]: r["e"] for r in df.where("__error IS NOT NULL").groupBy("stream_id").agg(F.min("__error").alias("e")).collect()}
+
+    def _send(self, job: Job, node: Node, low: Lowering, todo: list[int], k: int) -> None:
+        """The streams of an external sink: the graph runs once, and streams with errors are reported, not written."""
+        streams = node.spec["streams"]
+
+        def work(part: list[int]) -> None:
+            df = low.narrowed(part).with_errors(node.inputs[0], "column").persist(StorageLevel.DISK_ONLY)
+            try:
+                with job.profile.span(f"verify {k}"):
+                    errors = self._errors(df) if low.python else {}
+                for i in part:
+                    if i in errors:
+                        job.failed[streams[i].name] = errors[i]
+                    else:
+                        with job.profile.span(f"write {k}"):
+                            streams[i].write(df.where(F.col("stream_id") == i).select("row_id", "column"))
+            finally:
+                df.unpersist()
+
+        self._apart(job, node, todo, work)
+
+    def _store(self, job: Job, node: Node, low: Lowering, todo: list[int], k: int) -> None:
+        """The streams of a sink in the catalog, each attempt to a folder of its own."""
+        column = node.inputs[0]
+        catalog: Catalog = node.spec["streams"][0].catalog
+        kind = dict(low.with_errors(column, "column").dtypes)["column"]
+        op = column.node.spec.get("op")
+        element = op.outputs[column.index][1].name if op and op.outputs[column.index][1] else ""
+        attempt = iter(range(1 << 30))
+
+        def work(part: list[int]) -> None:
+            root = f"{catalog.warehouse}/streams/{job.id}-{k}-{next(attempt)}"
             entries = {}
-            for i in todo:
-                s = node.spec["streams"][i]
-                entries[i] = Entry(s.name, f"{root}/stream_id={i}", {"column": kind}, {"column": element} if element else {}, low.shapes[node.id].lengths[i].total, False, job.id, time.time())
-                catalog.put(entries[i])
-            if len(todo) < low.streams:
-                df = df.where(F.col("stream_id").isin(todo))
+            for i in part:
+                entries[i] = Entry(node.spec["streams"][i].name, f"{root}/stream_id={i}", {"column": kind}, {"column": element} if element else {}, low.shapes[node.id].lengths[i].total, False, job.id, time.time())
+            catalog.put_all(list(entries.values()))
+            df = low.narrowed(part).with_errors(column, "column")
             with job.profile.span(f"write {k}"):
                 df.sortWithinPartitions("stream_id", "row_id").write.partitionBy("stream_id").option("compression", node.spec["codec"]).parquet(root)
             errors: dict[int, str] = {}
             if low.python and any(e.rows for e in entries.values()):
                 with job.profile.span(f"verify {k}"):
-                    bad = self.spark.read.parquet(root).where("__error IS NOT NULL").groupBy("stream_id").agg(F.min("__error").alias("e")).collect()
-                    errors = {r["stream_id"]: r["e"] for r in bad}
-            for i, entry in entries.items():
-                if i in errors:
-                    job.failed[entry.name] = errors[i]
-                else:
-                    entry.committed = True
-                    catalog.put(entry)
-        for f in shared:
-            f.df.unpersist()
+                    errors = self._errors(self.spark.read.parquet(root))
+            for i in errors:
+                job.failed[entries[i].name] = errors[i]
+            done = [e for i, e in entries.items() if i not in errors]
+            for e in done:
+                e.committed = True
+            catalog.put_all(done)
+
+        self._apart(job, node, todo, work)
 
     def wait_on_job(self, job_id: str) -> Job:
         job = self.jobs[job_id]

@@ -25,24 +25,118 @@ def encode_png(frame: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8 * frame.dtype.itemsize, _COLOUR[c], 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(raw)) + _chunk(b"IEND", b"")
 
 
+#: First column and row, and steps, of the passes of interlaced files.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _paeth(a: int, b: int, c: int) -> int:
+    p = a + b - c
+    pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+    return a if pa <= pb and pa <= pc else b if pb <= pc else c
+
+
+def _unfiltered(raw: bytes, h: int, size: int, step: int) -> tuple[np.ndarray, int]:
+    """h rows of ``size`` bytes, each behind the number of its filter, and the bytes read; ``step`` is that of a pixel."""
+    out = np.zeros((h, size), np.uint8)
+    above = np.zeros(size, np.uint8)
+    if len(raw) < h * (size + 1):
+        raise ValueError("the file is cut off")
+    for y in range(h):
+        kind, line = raw[y * (size + 1)], np.frombuffer(raw, np.uint8, size, y * (size + 1) + 1)
+        if kind == 0:
+            out[y] = line
+        elif kind == 1:
+            padded = np.pad(line, (0, -size % step)).reshape(-1, step)
+            out[y] = np.cumsum(padded, axis=0, dtype=np.uint8).ravel()[:size]
+        elif kind == 2:
+            out[y] = line + above
+        elif kind in (3, 4):
+            made, up = bytearray(line.tobytes()), above.tolist()
+            for i in range(size):
+                left, corner = (made[i - step], up[i - step]) if i >= step else (0, 0)
+                made[i] = (made[i] + ((left + up[i]) >> 1 if kind == 3 else _paeth(left, up[i], corner))) & 255
+            out[y] = np.frombuffer(made, np.uint8)
+        else:
+            raise ValueError(f"unknown filter {kind}")
+        above = out[y]
+    return out, h * (size + 1)
+
+
+def _samples(rows: np.ndarray, w: int, depth: int, channels: int) -> np.ndarray:
+    """The numbers of unfiltered rows: h x w x channels."""
+    if depth == 16:
+        return rows.view(">u2").astype(np.uint16).reshape(len(rows), w, channels)
+    if depth < 8:
+        each = 8 // depth
+        shifts = np.arange(each)[::-1] * depth
+        rows = ((rows[:, :, None] >> shifts.astype(np.uint8)) & ((1 << depth) - 1)).reshape(len(rows), -1)[:, : w * channels]
+    return rows.reshape(len(rows), w, channels)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """A frame from a PNG file whose rows have no filter, as encode_png makes them."""
+    """A frame from a PNG file of any kind: all depths, colours, palettes (with transparency: four channels), filters and
+    interlacing. Grey of less than eight bits is spread over them."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG file")
-    at, body, head = 8, b"", None
-    while at < len(data):
+    at, parts, head, palette, alpha = 8, [], None, None, b""
+    while at + 8 <= len(data):
         (n,) = struct.unpack(">I", data[at : at + 4])
         kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
-        head = struct.unpack(">IIBBBBB", part) if kind == b"IHDR" else head
-        body += part if kind == b"IDAT" else b""
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            alpha = part
+        elif kind == b"IDAT":
+            parts.append(part)
         at += 12 + n
-    w, h, depth, colour = head[:4]
-    channels = next(c for c, k in _COLOUR.items() if k == colour)
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, -1)
-    if raw[:, 0].any():
-        raise ValueError("filtered rows are not supported")
-    kind = np.dtype(np.uint8 if depth == 8 else ">u2")
-    return np.ascontiguousarray(raw[:, 1:]).view(kind).reshape(h, w, channels).astype(np.uint8 if depth == 8 else np.uint16)
+    if head is None:
+        raise ValueError("the file has no header")
+    w, h, depth, colour, _, _, interlaced = head
+    channels = 1 if colour == 3 else next((c for c, k in _COLOUR.items() if k == colour), 0)
+    if not channels or depth not in (1, 2, 4, 8, 16) or colour == 3 and palette is None:
+        raise ValueError(f"no PNG of colour {colour} and depth {depth}")
+    raw, step = zlib.decompress(b"".join(parts)), max(1, channels * depth // 8)
+    out = np.zeros((h, w, channels), np.uint16 if depth == 16 else np.uint8)
+    for x0, y0, dx, dy in _PASSES if interlaced else ((0, 0, 1, 1),):
+        columns, lines = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if columns > 0 and lines > 0:
+            rows, used = _unfiltered(raw, lines, (columns * channels * depth + 7) // 8, step)
+            out[y0::dy, x0::dx] = _samples(rows, columns, depth, channels)
+            raw = raw[used:]
+    if colour == 3:
+        colours = palette
+        if alpha:
+            opaque = np.full((len(palette), 1), 255, np.uint8)
+            opaque[: len(alpha), 0] = np.frombuffer(alpha, np.uint8)[: len(palette)]
+            colours = np.concatenate((palette, opaque), axis=1)
+        return colours[out[:, :, 0]]
+    return out * np.uint8(255 // ((1 << depth) - 1)) if depth < 8 else out
+
+
+def decode_pnm(data: bytes) -> np.ndarray:
+    """A frame from a binary PGM or PPM file of 8 bits."""
+    fields, at = [], 0
+    while len(fields) < 4:
+        while data[at : at + 1].isspace() or data[at : at + 1] == b"#":
+            at = data.index(b"\n", at) + 1 if data[at : at + 1] == b"#" else at + 1
+        end = at
+        while end < len(data) and not data[end : end + 1].isspace():
+            end += 1
+        if end == at:
+            raise ValueError("the file is cut off")
+        fields.append(data[at:end])
+        at = end
+    channels, (w, h, most) = {b"P5": 1, b"P6": 3}[fields[0]], map(int, fields[1:])
+    if most != 255:
+        raise ValueError("only files of eight bits are read")
+    return np.frombuffer(data, np.uint8, w * h * channels, at + 1).reshape(h, w, channels)
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """A frame from a PNG, PGM or PPM file."""
+    return decode_pnm(data) if data[:2] in (b"P5", b"P6") else decode_png(data)
 
 
 def resize(frame: np.ndarray, width: int, height: int) -> np.ndarray:

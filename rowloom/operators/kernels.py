@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import collections.abc
 import inspect
+import signal
 import sys
+import threading
 import typing
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rowloom.types import ElementType, find_type
 
@@ -133,11 +137,35 @@ def register_op(name: str | None = None, stencil: Sequence[int] | None = None, b
     return decorate
 
 
+class TaskTimeout(BaseException):
+    """A task took too long. No Exception, so that kernels that catch those don't hold it up."""
+
+
+@contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """Raises TaskTimeout after so many seconds (0: never). Alarms reach main threads only, which workers run kernels in."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(*_: Any) -> None:
+        raise TaskTimeout
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 class Runner:
-    """One kernel instance in a worker, fed with rows in order."""
+    """One kernel instance in a worker, fed with rows in order. Consecutive rows of a batch are a task."""
 
-    def __init__(self, op: Operation, args: dict[str, Any], stream_args: dict[str, list], batch: int, names: tuple[str, ...]):
-        self.op, self.batch, self.stream_args = op, batch, stream_args
+    def __init__(self, op: Operation, args: dict[str, Any], stream_args: dict[str, list], batch: int, names: tuple[str, ...], timeout: float = 0.0):
+        self.op, self.batch, self.stream_args, self.timeout = op, batch, stream_args, timeout
+        self.stuck: set[int] = set()
         config = KernelConfig(args, names, tuple(o[0] for o in op.outputs))
         if inspect.isclass(op.target):
             if op.name not in _FETCHED and hasattr(op.target, "fetch_resources"):
@@ -171,80 +199,86 @@ class Runner:
         if self.kernel is not None and hasattr(self.kernel, "close"):
             self.kernel.close()
 
-    def rows(self, values: list[tuple]) -> list[tuple[tuple, str | None]]:
-        """Encoded results and errors of consecutive rows."""
+    def rows(self, values: list[tuple], stream: int = 0) -> list[tuple[tuple, str | None]]:
+        """Encoded results and errors of consecutive rows. After a task that took too long its stream isn't worked on."""
         out: list[tuple[tuple, str | None]] = []
+        late = ((None,) * len(self.op.outputs), f"{self.op.name}: a task took more than {self.timeout} s")
+        if stream not in self.stuck:
+            try:
+                with time_limit(self.timeout):
+                    for i in range(0, len(values), self.batch):
+                        out += self._batch(values[i : i + self.batch])
+                return out
+            except TaskTimeout:
+                self.stuck.add(stream)
+        return out + [late] * (len(values) - len(out))
+
+    def _batch(self, part: list[tuple]) -> list[tuple[tuple, str | None]]:
         nothing = (None,) * len(self.op.outputs)
-        for i in range(0, len(values), self.batch):
-            part = values[i : i + self.batch]
-            live = [k for k, v in enumerate(part) if self.op.accepts_null or not any(_missing(x) for x in v)]
-            found: list[tuple[tuple, str | None]] = [(nothing, None)] * len(part)
-            if live:
-                try:
-                    if self.op.takes_batch:
-                        results = list(self.call(*([part[k][c] for k in live] for c in range(len(part[0])))))
-                        if len(results) != len(live):
-                            raise ValueError(f"{self.op.name} made {len(results)} elements of {len(live)}")
-                    else:
-                        results = [self.call(*part[k]) for k in live]
-                    for k, r in zip(live, results):
-                        made = r if len(self.op.outputs) > 1 else (r,)
-                        if len(made) != len(self.op.outputs):
-                            raise ValueError(f"{self.op.name} made {len(made)} values for {len(self.op.outputs)} outputs")
-                        found[k] = (tuple(None if v is None else t.encode(v) for v, (_, t) in zip(made, self.op.outputs)), None)
-                except Exception as e:  # the stream is reported and not committed; the others go on
-                    found = [(nothing, f"{self.op.name}: {type(e).__name__}: {e}")] * len(part)
-            out += found
-        return out
+        live = [k for k, v in enumerate(part) if self.op.accepts_null or not any(_missing(x) for x in v)]
+        found: list[tuple[tuple, str | None]] = [(nothing, None)] * len(part)
+        if not live:
+            return found
+        try:
+            if self.op.takes_batch:
+                results = list(self.call(*([part[k][c] for k in live] for c in range(len(part[0])))))
+                if len(results) != len(live):
+                    raise ValueError(f"{self.op.name} made {len(results)} elements of {len(live)}")
+            else:
+                results = [self.call(*part[k]) for k in live]
+            for k, r in zip(live, results):
+                made = r if len(self.op.outputs) > 1 else (r,)
+                if len(made) != len(self.op.outputs):
+                    raise ValueError(f"{self.op.name} made {len(made)} values for {len(self.op.outputs)} outputs")
+                found[k] = (tuple(None if v is None else t.encode(v) for v, (_, t) in zip(made, self.op.outputs)), None)
+        except Exception as e:  # the stream is reported and not committed; the others go on
+            return [(nothing, f"{self.op.name}: {type(e).__name__}: {e}")] * len(part)
+        return found
 
 
 def _missing(value: Any) -> bool:
     return value is None or isinstance(value, list) and any(v is None for v in value)
 
 
-def _null(value: Any) -> bool:
-    return value is None or value is pd.NA or (isinstance(value, float) and value != value)
-
-
-def partition_runner(op: Operation, args: dict, stream_args: dict, batch: int, inputs: list[str], windows: bool, keep: list[str], outputs: list[str], sliced: bool, stateful: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The function that a partition's batches go through. Rows of a stateful operation come in order; those whose
-    ``__emit`` is false are computed and dropped."""
+def partition_runner(op: Operation, args: dict, stream_args: dict, batch: int, inputs: list[str], windows: bool, keep: list[str], outputs: list[str], sliced: bool, stateful: bool, timeout: float = 0.0, batch_rows: int = 10_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function that a partition's Arrow batches go through: nulls are those of Arrow, so NaN is a value. Rows of a
+    stateful operation come in order; those whose ``__emit`` is false are computed and dropped."""
     types = [t for _, t in op.inputs] * (len(inputs) if op.variadic else 1)
     names = tuple(inputs)
+    made = [(c, t.spark) for c, (_, t) in zip(outputs, op.outputs)]
 
     def decode(value: Any, kind: ElementType) -> Any:
-        if windows:
-            return None if value is None else [None if _null(v) else kind.decode(v) for v in value]
-        if _null(value):
+        if value is None:
             return None
+        if windows:
+            return [None if v is None else kind.decode(v) for v in value]
         return value if op.variadic else kind.decode(value)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runner, last = Runner(op, args, stream_args, batch, names), None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            streams = pdf["stream_id"].tolist()
-            slices = pdf["slice_id"].tolist() if sliced else [None] * len(pdf)
-            chunks = pdf["__chunk"].tolist() if stateful else [0] * len(pdf)
-            ids = pdf["row_id"].tolist()
-            values = list(zip(*([decode(v, t) for v in pdf[c].tolist()] for c, t in zip(inputs, types))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runner, last = Runner(op, args, stream_args, batch, names, timeout), None
+        for part in (whole.slice(i, batch_rows) for whole in batches for i in range(0, whole.num_rows, batch_rows)):
+            n = part.num_rows
+            listed = lambda c: part.column(c).to_pylist()
+            streams, ids, before = listed("stream_id"), listed("row_id"), listed("__error")
+            slices = listed("slice_id") if sliced else [None] * n
+            chunks = listed("__chunk") if stateful else [0] * n
+            values = list(zip(*([decode(v, t) for v in listed(c)] for c, t in zip(inputs, types))))
             results, i = [], 0
-            while i < len(pdf):
+            while i < n:
                 j = i + 1
-                while j < len(pdf) and (streams[j], slices[j], chunks[j]) == (streams[i], slices[i], chunks[i]) and (not stateful or ids[j] == ids[j - 1] + 1):
+                while j < n and (streams[j], slices[j], chunks[j]) == (streams[i], slices[i], chunks[i]) and (not stateful or ids[j] == ids[j - 1] + 1):
                     j += 1
                 here = (streams[i], slices[i], chunks[i])
                 fresh = last is None or last[0] != here or (stateful and ids[i] != last[1] + 1)
                 if fresh:
                     runner.start(streams[i], slices[i], True)
-                results += runner.rows(values[i:j])
+                results += runner.rows(values[i:j], streams[i])
                 last, i = (here, ids[j - 1]), j
-            out = pdf[keep].copy()
-            for k, c in enumerate(outputs):
-                out[c] = pd.Series([r[0][k] for r in results], index=out.index, dtype=object)
-            out["__error"] = pd.Series([e or r[1] for e, r in zip(pdf["__error"].tolist(), results)], index=out.index, dtype=object)
-            yield out[pdf["__emit"]] if stateful else out
+            arrays = [part.column(c) for c in keep]
+            arrays += [pa.array([r[0][k] for r in results], to_arrow_type(kind)) for k, (_, kind) in enumerate(made)]
+            arrays.append(pa.array([e or r[1] for e, r in zip(before, results)], pa.string()))
+            out = pa.RecordBatch.from_arrays(arrays, [*keep, *outputs, "__error"])
+            yield out.filter(part.column("__emit")) if stateful else out
         runner.close()
 
     return run

@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowloom.functions import images, vectors
+from rowloom.functions import boxes, images, vectors
 from rowloom.operators.kernels import register_op
-from rowloom.types import Frame
+from rowloom.types import Boxes, Floats, Frame
 
 
 @register_op(name="Histogram", outputs={"ret0": "histogram"})
@@ -116,7 +116,7 @@ def image_encoder(config, frame: Frame):
 
 @register_op(name="ImageDecoder")
 def image_decoder(config, image: bytes) -> Frame:
-    return images.decode_png(image)
+    return images.decode_image(image)
 
 
 @register_op(name="FrameDifference", stencil=[0, 1])
@@ -164,6 +164,56 @@ def sleep(config, ignore: bytes) -> bytes:
     return b"\0"
 
 
+def _rows(listed: list) -> np.ndarray:
+    return np.array([[b["x1"], b["y1"], b["x2"], b["y2"], b["score"]] for b in listed], float).reshape(-1, 5)
+
+
+def _boxes(rows: np.ndarray) -> list:
+    return [{"x1": r[0], "y1": r[1], "x2": r[2], "y2": r[3], "score": r[4], "track_id": None, "track_score": None, "label": None} for r in rows.tolist()]
+
+
+@register_op(name="BestBoxes", outputs={"ret0": "box_list"})
+def best_boxes(config, found: Boxes):
+    """The best of each group of overlapping boxes, the best first."""
+    return _boxes(boxes.best_nms(_rows(found), config.args.get("overlap", 0.3)))
+
+
+@register_op(name="AverageBoxes", outputs={"ret0": "box_list"})
+def average_boxes(config, found: Boxes):
+    """The mean box, weighted by score, of each group of overlapping boxes."""
+    return _boxes(boxes.average_nms(_rows(found), config.args.get("overlap", 0.3)))
+
+
+@register_op(name="SmoothBoxes", stencil=[-1, 0, 1], outputs={"ret0": "box_list"})
+def smooth_boxes(config, found: Sequence[Boxes]):
+    """Boxes averaged with those of the rows before and after that overlap them most."""
+    before, here, after = map(_rows, found)
+    return _boxes(boxes.smooth(here, before, after, config.args.get("overlap", 0.5)))
+
+
+@register_op(name="Overlap", expression=True)
+def overlap(config, first: Column, second: Column):
+    """Intersection over union of two boxes; 0 where they don't meet."""
+    width = F.least(first["x2"], second["x2"]) - F.greatest(first["x1"], second["x1"])
+    height = F.least(first["y2"], second["y2"]) - F.greatest(first["y1"], second["y1"])
+    area = lambda b: (b["x2"] - b["x1"]).cast("double") * (b["y2"] - b["y1"])
+    both = width.cast("double") * height
+    return F.when((width > 0) & (height > 0), both / (area(first) + area(second) - both)).otherwise(F.lit(0.0))
+
+
+@register_op(name="ToFrame")
+def to_frame(config, vector: Floats) -> Frame:
+    """An array of numbers from -1 to 1 as an 8-bit frame of a width."""
+    level = np.clip(np.floor((np.asarray(vector, float) + 1) * 127.5), 0, 255).astype(np.uint8)
+    return np.repeat(level.reshape(-1, config.args.get("width", 8), 1), config.args.get("channels", 1), axis=2)
+
+
+@register_op(name="ToNumbers", outputs={"ret0": "ints"})
+def to_numbers(config, frame: Frame):
+    """The numbers of a frame row by row."""
+    return frame.ravel()
+
+
 @register_op(name="Widen", expression=True)
 def widen(config, vector: Column):
     """An array of numbers as doubles."""

@@ -28,21 +28,27 @@ LITERAL_RANGES = 64
 
 @dataclass
 class Performance:
-    """Rows after which a window or bounded state is cut into chunks, and rows of a Python batch. Neither changes what
-    kernels compute that keep to their stencil and state."""
+    """Rows after which a window or bounded state is cut into chunks, rows of a Python batch, and seconds that a task (the
+    consecutive rows of a batch) may take. The sizes don't change what kernels compute that keep to their stencil and state."""
 
     chunk_rows: int = 1 << 20
     batch_rows: int = 10_000
+    task_timeout: float = 0.0
 
     @classmethod
     def manual(cls, work_packet_size: int, io_packet_size: int, **_: Any) -> Performance:
-        if work_packet_size <= 0 or io_packet_size % work_packet_size:
+        """Batches of a work packet's rows, and chunks of an io packet's."""
+        if work_packet_size <= 0 or io_packet_size <= 0 or io_packet_size % work_packet_size:
             raise ValueError("the io packet must be a multiple of the work packet")
-        return cls(batch_rows=work_packet_size)
+        return cls(chunk_rows=io_packet_size, batch_rows=work_packet_size)
 
     @classmethod
-    def estimate(cls, **_: Any) -> Performance:
-        return cls()
+    def estimate(cls, element_bytes: int = 0, memory_bytes: int = 256 << 20, **_: Any) -> Performance:
+        """Batches that take at most a sixteenth of a task's memory, by the size of an element, and chunks of many."""
+        if element_bytes <= 0:
+            return cls()
+        rows = max(1, min(10_000, memory_bytes // 16 // element_bytes))
+        return cls(chunk_rows=max(rows, min(1 << 20, memory_bytes // element_bytes)), batch_rows=rows)
 
 
 @dataclass(eq=False)
@@ -91,8 +97,8 @@ def fed_filter(rows: list[D.Wanted], warmup: int) -> Column:
 class Lowering:
     """Lowers the nodes of one graph."""
 
-    def __init__(self, spark: SparkSession, ends: list[Node], counts: dict[int, list[int]], performance: Performance | None = None):
-        self.spark, self.performance = spark, performance or Performance()
+    def __init__(self, spark: SparkSession, ends: list[Node], counts: dict[int, list[int]], performance: Performance | None = None, only: list[int] | None = None):
+        self.spark, self.performance, self.counts, self.only = spark, performance or Performance(), counts, only
         self.nodes, self.shapes = analyse(ends, counts)
         self.ends, self.wanted = ends, {}
         self.needs = needs(self.nodes, self.shapes, ends)
@@ -113,6 +119,10 @@ class Lowering:
     def streams(self) -> int:
         return len(next(iter(self.shapes.values())).lengths)
 
+    def narrowed(self, streams: list[int]) -> Lowering:
+        """The same graph over some of the streams: sources read no others, so that kernels don't meet them."""
+        return self if len(streams) == len(self.only or range(self.streams)) else Lowering(self.spark, self.ends, self.counts, self.performance, streams)
+
     def frame(self, output: Output, name: str = "value") -> DataFrame:
         """Keys and the column of an output."""
         family = self.families[output.node.id]
@@ -144,6 +154,8 @@ class Lowering:
         condition = rows_filter(self.needs[node.id], [n.total for n in shape.lengths])
         if condition is not None:
             df = df.where(condition)
+        if self.only is not None:
+            df = df.where(F.col("stream_id").isin(self.only))
         columns = [node.output(k).column for k in range(len(node.outputs))]
         df = df.select("stream_id", "row_id", F.lit(None).cast("string").alias("__error"), *(F.col(c).alias(n) for c, n in zip(node.outputs, columns)))
         return Family(df, False, set(columns))
@@ -376,5 +388,5 @@ class Lowering:
             extra = ["__chunk", "__emit"]
         fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         schema = ", ".join([f"`{c}` {fields[c]}" for c in carried if c != "__error"] + [f"`{m}` {t.spark.simpleString()}" for m, (_, t) in zip(made, op.outputs)] + ["`__error` string"])
-        run = partition_runner(op, node.spec["args"], {k: per_stream(v, self.streams, k) for k, v in node.spec["stream_args"].items()}, batch, inputs, windows, [c for c in carried if c != "__error"], made, family.sliced, stateful)
-        return df.select(*dict.fromkeys([*carried, *extra, *inputs])).mapInPandas(run, schema)
+        run = partition_runner(op, node.spec["args"], {k: per_stream(v, self.streams, k) for k, v in node.spec["stream_args"].items()}, batch, inputs, windows, [c for c in carried if c != "__error"], made, family.sliced, stateful, self.performance.task_timeout, self.performance.batch_rows)
+        return df.select(*dict.fromkeys([*carried, *extra, *inputs])).mapInArrow(run, schema)

@@ -7,6 +7,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -29,6 +30,7 @@ class Entry:
     committed: bool = False
     job: str = ""
     timestamp: float = 0.0
+    video: dict[str, Any] = field(default_factory=dict)
 
 
 class Catalog:
@@ -65,6 +67,22 @@ class Catalog:
         fs.delete(target, False)
         fs.rename(p, target)
 
+    def put_all(self, entries: list[Entry]) -> None:
+        """Write many entries, some at a time."""
+        if len(entries) < 2:
+            for e in entries:
+                self.put(e)
+            return
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(self.put, entries))
+
+    def new_folder(self) -> str:
+        return f"{self.warehouse}/streams/{uuid.uuid4().hex}"
+
+    def put_new(self, name: str, path: str, columns: dict[str, str], types: dict[str, str], rows: int, video: dict[str, Any] | None = None) -> None:
+        """A committed stream out of files that are there."""
+        self.put(Entry(name, path, columns, types, rows, True, "", time.time(), video or {}))
+
     def get(self, name: str) -> Entry | None:
         fs, p = self._fs(self._entry_path(name))
         if not fs.exists(p):
@@ -129,6 +147,22 @@ class Catalog:
         return NamedStream(self, name)
 
 
+@dataclass(frozen=True)
+class Enumerator:
+    """How many elements a source has, and the arguments that one is read with."""
+
+    elements: int
+    arguments: Callable[[int], dict[str, Any]]
+
+    def total_elements(self) -> int:
+        return self.elements
+
+    def element_args_at(self, index: int) -> dict[str, Any]:
+        if not 0 <= index < self.elements:
+            raise IndexError(f"element {index} of {self.elements}")
+        return self.arguments(index)
+
+
 class StoredStream:
     """A named, ordered, finite sequence in some storage: what graphs read from and write to."""
 
@@ -151,6 +185,10 @@ class StoredStream:
     def type(self) -> ElementType | None:
         return None
 
+    def enumerator(self) -> Enumerator:
+        """The elements of the stream, by number."""
+        return Enumerator(self.length(), lambda i: {"row_id": i})
+
     def estimate_size(self) -> int:
         """Bytes of an average element, from the first rows."""
         sample = self.read().where(F.col("row_id") < 100).agg(F.avg(F.length(F.col("column").cast("string")))).first()[0]
@@ -221,6 +259,54 @@ class NamedStream(StoredStream):
             return None
 
 
+class Table:
+    """All columns of a stream in the catalog."""
+
+    def __init__(self, catalog: Catalog, name: str):
+        if not catalog.has(name):
+            raise KeyError(f"there is no stream {name}")
+        self.catalog, self.name = catalog, name
+
+    @property
+    def entry(self) -> Entry:
+        return self.catalog.get(self.name)
+
+    def columns(self) -> list[str]:
+        return list(self.entry.columns)
+
+    def num_rows(self) -> int:
+        return self.entry.rows
+
+    def committed(self) -> bool:
+        return self.entry.committed
+
+    def column(self, name: str) -> NamedStream:
+        return NamedStream(self.catalog, self.name, name)
+
+    def frame(self) -> DataFrame:
+        """row_id and all columns."""
+        return self.catalog.spark.read.parquet(self.entry.path).select("row_id", *self.columns())
+
+    def load(self, columns: list[str] | None = None, rows: list[int] | None = None, decode: Callable[..., Any] | None = None) -> Iterator[Any]:
+        """Tuples of the columns' values in row order, or what ``decode`` makes of them; missing ones are NullElements."""
+        columns = columns or self.columns()
+        kinds = [self.column(c).type() for c in columns]
+        df = self.frame().select("row_id", *columns)
+        if rows is not None:
+            if sorted(rows) != list(rows):
+                raise ValueError("rows must ascend")
+            df = df.where(F.col("row_id").isin(list(rows)))
+        for row in df.orderBy("row_id").toLocalIterator():
+            values = [NullElement() if row[c] is None else k.decode(row[c]) if k else bytes(row[c]) if isinstance(row[c], (bytearray, memoryview)) else row[c] for c, k in zip(columns, kinds)]
+            yield decode(*values) if decode else tuple(values)
+
+    def parent_rows(self) -> list[int]:
+        """The rows of the stream that this one was made from: what its column ``index`` holds, else its own row ids."""
+        if "index" in self.columns():
+            return [r["index"] for r in self.frame().select("row_id", "index").orderBy("row_id").toLocalIterator()]
+        return list(range(self.num_rows()))
+
+
 class ExternalSink:
     """A place outside the catalog that a stream's elements go to: anything that a DataFrameWriter can write.
 

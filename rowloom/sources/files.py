@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from rowloom.sources.catalog import Catalog, Entry, NamedStream, StoredStream
 from rowloom.types import encode_frame, unpack_rows
@@ -106,19 +107,77 @@ class _ElementReader(DataSourceReader):
             yield i, self.source.element(i)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task has written."""
+
+    rows: int
+    result: Any
+
+
+class ElementSink(DataSource):
+    """Base for sinks written in Python: in a task ``new_stream(options)`` opens it, ``write(row_id, value)`` takes every
+    element and ``close()`` may return a result; ``finished(options, results)`` runs once, on the driver, when all tasks
+    are done, or ``failed(options, results)`` if one isn't.
+
+    Register a subclass with spark.dataSource.register, and name it in an ExternalSink.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return cls.__name__.lower()
+
+    def new_stream(self, options: dict[str, str]) -> None:
+        pass
+
+    def write(self, row_id: int, value: Any) -> None:
+        raise NotImplementedError
+
+    def close(self) -> Any:
+        return None
+
+    def finished(self, options: dict[str, str], results: list[Any]) -> None:
+        pass
+
+    def failed(self, options: dict[str, str], results: list[Any]) -> None:
+        pass
+
+    def writer(self, schema: Any, overwrite: bool) -> DataSourceWriter:
+        return _ElementWriter(self)
+
+
+class _ElementWriter(DataSourceWriter):
+    def __init__(self, sink: ElementSink):
+        self.sink = sink
+
+    def write(self, iterator: Iterator[Any]) -> Written:
+        self.sink.new_stream(dict(self.sink.options))
+        rows = 0
+        for row in iterator:
+            self.sink.write(row["row_id"], row["column"])
+            rows += 1
+        return Written(rows, self.sink.close())
+
+    def commit(self, messages: list[Written | None]) -> None:
+        self.sink.finished(dict(self.sink.options), [m.result for m in messages if m is not None])
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self.sink.failed(dict(self.sink.options), [m.result for m in messages if m is not None])
+
+
 def ingest_images(catalog: Catalog, name: str, stream: StoredStream, force: bool = False) -> tuple[NamedStream, DataFrame]:
-    """A frame stream out of PNG files, and a table of those that could not be read (row_id, error).
+    """A frame stream out of PNG, PGM and PPM files, and a table of those that could not be read (row_id, error).
 
     Rows keep their ids; a file that can't be read is a null element. If none can, it is an error.
     """
-    from rowloom.functions.images import decode_png
+    from rowloom.functions.images import decode_image
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             frames, errors = [], []
             for content in pdf["column"]:
                 try:
-                    frames.append(encode_frame(decode_png(bytes(content))))
+                    frames.append(encode_frame(decode_image(bytes(content))))
                     errors.append(None)
                 except Exception as e:
                     frames.append(None)

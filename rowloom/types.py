@@ -98,6 +98,14 @@ class Frame:
     """Annotation for frames, which kernels see as numpy arrays."""
 
 
+class Boxes:
+    """Annotation for lists of boxes, which kernels see as dicts."""
+
+
+class Floats:
+    """Annotation for arrays of floats."""
+
+
 def encode_frame(value: np.ndarray) -> dict:
     value = np.asarray(value)
     if value.ndim > 3 or str(value.dtype) not in FRAME_DTYPES:
@@ -118,9 +126,9 @@ DOUBLE = register_type(ElementType("double", T.DoubleType(), float, float), floa
 STRING = register_type(ElementType("string", T.StringType()), str)
 BOOLEAN = register_type(ElementType("boolean", T.BooleanType(), bool, bool), bool)
 BOX_TYPE = register_type(ElementType("box", BOX))
-BOX_LIST = register_type(variable_list("box_list", "box"))
+BOX_LIST = register_type(variable_list("box_list", "box"), Boxes)
 POINT_TYPE = register_type(ElementType("point", POINT))
-FLOATS = register_type(ElementType("floats", T.ArrayType(T.FloatType()), lambda v: np.asarray(v, np.float32).tolist(), lambda v: np.asarray(v, np.float32)))
+FLOATS = register_type(ElementType("floats", T.ArrayType(T.FloatType()), lambda v: np.asarray(v, np.float32).tolist(), lambda v: np.asarray(v, np.float32)), Floats)
 INTS = register_type(ElementType("ints", T.ArrayType(T.IntegerType()), lambda v: np.asarray(v, np.int32).tolist(), lambda v: np.asarray(v, np.int32)))
 HISTOGRAM = register_type(uniform_list("histogram", "ints", parts=3))
 IMAGE = register_type(ElementType("image", T.BinaryType(), bytes, bytes))

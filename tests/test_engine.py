@@ -376,7 +376,7 @@ def test_running_aggregates(spark, kind):
 def test_external_sinks(spark, client, tmp_path):
     x = client.io.Input([numbers(spark, 3), numbers(spark, 2)])
     sinks = [ExternalSink(f"e{i}", "json", str(tmp_path / f"e{i}")) for i in range(2)]
-    assert client.run(client.io.Output(client.ops.Doubled(x=x), sinks)) is None
+    assert client.job_status(client.run(client.io.Output(client.ops.Doubled(x=x), sinks))) == {"status": "done", "streams": 2, "failed": {}}
     assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "e0")).select("row_id", "column").collect()) == [(0, 0), (1, 2), (2, 4)]
 
 
