@@ -223,3 +223,23 @@ def widen(config, vector: Column):
 @register_op(name="TextLength")
 def text_length(config, text: str) -> int:
     return len(text)
+
+
+@register_op(name="TextLengths", batch=64)
+def text_lengths(config, text: Sequence[str]) -> Sequence[int]:
+    """Lengths of texts, a batch at a time."""
+    return [len(t) for t in text]
+
+
+@register_op(name="WindowSpread", stencil=[-1, 0, 1], batch=32)
+def window_spread(config, value: Sequence[Sequence[float]]) -> Sequence[float]:
+    """The largest less the smallest number of each window."""
+    return [max(w) - min(w) for w in value]
+
+
+@register_op(name="AtMost")
+def at_most(config, value: float) -> float:
+    """The numbers themselves; one above the limit is an error."""
+    if value > config.args["limit"]:
+        raise ValueError(f"{value} is more than {config.args['limit']}")
+    return value

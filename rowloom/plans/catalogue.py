@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.client import Client
+from rowloom.client import CacheMode, Client
+from rowloom.functions.vectors import resized
 from rowloom.operators.prefix import running
 from rowloom.plans.domain import SliceArgs
 from rowloom.sources.catalog import FrameStream, StreamBatch
+from rowloom.sources.files import PackedFileStream
+from rowloom.types import pack_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,10 +79,10 @@ def sample_strided_ranges(spark, sf_dir):
     return plain(c.frame(c.streams.StridedRanges(e, [[(0, 10), (50, 60)]], 3)))
 
 
-@query("SELECT CAST(g.pos AS BIGINT) AS row_id, e.value FROM events e JOIN (VALUES (0,0),(1,150),(2,377),(3,500),(4,150)) g(pos,rid) ON e.event_id = g.rid")
+@query("SELECT CAST(g.pos AS BIGINT) AS row_id, e.value FROM events e JOIN (VALUES (0,3),(1,612),(2,80),(3,944),(4,612),(5,7)) g(pos,rid) ON e.event_id = g.rid")
 def sample_gather(spark, sf_dir):
     c, e = events(spark, sf_dir)
-    return plain(c.frame(c.streams.Gather(e, [[0, 150, 377, 500, 150]])))
+    return plain(c.frame(c.streams.Gather(e, [[3, 612, 80, 944, 612, 7]])))
 
 
 @query("SELECT event_id * 3 + j AS row_id, value FROM events, (SELECT unnest(range(3)) AS j)")
@@ -111,10 +115,10 @@ def slice_strided(spark, sf_dir):
     return plain(c.frame(c.streams.Slice(e, [c.partitioner.strided(2, 50)])), "slice_id", "row_id", "value")
 
 
-@query("SELECT CAST(r.g AS BIGINT) AS slice_id, e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (0,0,15),(1,5,25),(2,15,35)) r(g,a,b) ON e.event_id >= r.a AND e.event_id < r.b")
+@query("SELECT CAST(r.g AS BIGINT) AS slice_id, e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (0,2,21),(1,12,40),(2,30,33)) r(g,a,b) ON e.event_id >= r.a AND e.event_id < r.b")
 def slice_ranges_overlap(spark, sf_dir):
     c, e = events(spark, sf_dir)
-    return plain(c.frame(c.streams.Slice(e, [c.partitioner.ranges([(0, 15), (5, 25), (15, 35)])])), "slice_id", "row_id", "value")
+    return plain(c.frame(c.streams.Slice(e, [c.partitioner.ranges([(2, 21), (12, 40), (30, 33)])])), "slice_id", "row_id", "value")
 
 
 @query("SELECT CAST(r.g AS BIGINT) AS slice_id, (e.event_id - r.a) // 4 AS row_id, e.value FROM events e JOIN (VALUES (0,0,15),(1,100,200)) r(g,a,b) ON e.event_id >= r.a AND e.event_id < r.b AND (e.event_id - r.a) % 4 = 0")
@@ -141,12 +145,12 @@ def unslice_all(spark, sf_dir):
     return plain(c.frame(c.streams.Unslice(c.streams.Slice(e, [c.partitioner.all(50)]))))
 
 
-@query("SELECT r.off + e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (0,10,0),(5,15,10),(15,25,20)) r(a,b,off) ON e.event_id >= r.a AND e.event_id < r.b")
+@query("SELECT r.off + e.event_id - r.a AS row_id, e.value FROM events e JOIN (VALUES (3,11,0),(13,19,8),(31,40,14)) r(a,b,off) ON e.event_id >= r.a AND e.event_id < r.b")
 def slice_args(spark, sf_dir):
     """Overlapping slices, each sampled by a range of its own."""
     c, e = events(spark, sf_dir)
-    cut = c.streams.Slice(e, [c.partitioner.ranges([(0, 15), (5, 25), (15, 35)])])
-    return plain(c.frame(c.streams.Unslice(c.streams.Range(cut, [SliceArgs([(0, 10), (0, 10), (0, 10)])]))))
+    cut = c.streams.Slice(e, [c.partitioner.ranges([(2, 21), (12, 40), (30, 45)])])
+    return plain(c.frame(c.streams.Unslice(c.streams.Range(cut, [SliceArgs([(1, 9), (1, 7), (1, 10)])]))))
 
 
 @query("SELECT event_id AS row_id, coalesce(lag(value) OVER w, value) AS prev_value, value, coalesce(lead(value) OVER w, value) AS next_value FROM events WINDOW w AS (ORDER BY event_id)")
@@ -251,14 +255,6 @@ def batch_streams_args(spark, sf_dir):
     return df.join(users, "stream_id").select(F.col("user_id").alias("stream_id"), "row_id", "value")
 
 
-@query("SELECT a.event_id AS row_id, a.value + b.o_totalprice AS value FROM events a JOIN orders b ON a.event_id = b.o_orderkey WHERE a.event_id < 1000")
-def zip_streams(spark, sf_dir):
-    """Two sources of equal length, joined by position."""
-    c, e = events(spark, sf_dir)
-    orders = c.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_totalprice")])
-    return plain(c.frame(c.ops.Sum(c.streams.Range(e, [(0, 1000)]), c.streams.Range(orders, [(0, 1000)]))))
-
-
 @query("SELECT a.event_id AS row_id, a.value + b.o_totalprice AS value FROM events a JOIN orders b ON a.event_id = b.o_orderkey")
 def zip_streams_whole(spark, sf_dir):
     """Two sources joined by position, both cut to the length of the shorter one."""
@@ -279,13 +275,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[Client, Any]:
     return c, c.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")])
 
 
-@query("SELECT vec_id AS row_id, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high FROM embeddings")
+@query("SELECT vec_id AS row_id, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high, list_reduce(CAST(embedding AS DOUBLE[]), lambda a, b: a + b) / len(embedding) AS mean FROM embeddings")
 def multi_output(spark, sf_dir):
     c, v = vectors(spark, sf_dir)
-    low, high, _ = c.ops.Statistics(vector=v)
-    both = c.lower([low.node])
-    family = both.families[low.node.id]
-    return family.df.select("row_id", F.col(low.column).alias("low"), F.col(high.column).alias("high"))
+    low, high, mean = c.ops.Statistics(vector=v)
+    family = c.lower([low.node]).families[low.node.id]
+    return family.df.select("row_id", *(F.col(o.column).alias(n) for o, n in ((low, "low"), (high, "high"), (mean, "mean"))))
 
 
 @query("SELECT doc_id AS row_id, concat_ws('/', lang, source, lang) AS value FROM documents")
@@ -296,11 +291,15 @@ def variadic(spark, sf_dir):
     return plain(c.frame(c.ops.Concat(lang, source, lang, args={"separator": "/"})))
 
 
-@query("SELECT vec_id AS row_id, len(embedding) * 3 AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def numbered(df: DataFrame, column: str = "value") -> DataFrame:
+    """A row for every number of an array column: row_id, at and value."""
+    return df.select("row_id", F.posexplode(column).alias("at", "value")).select("row_id", F.col("at").cast("long"), F.col("value").cast("double"))
+
+
+@query("SELECT vec_id AS row_id, i AS at, CAST(embedding[1 + i % len(embedding)] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(3 * len(embedding))) AS i FROM embeddings)")
 def clone_channels(spark, sf_dir):
     c, v = vectors(spark, sf_dir)
-    df = c.frame(c.ops.CloneChannels(vector=v, times=3))
-    return df.select("row_id", F.size("value").cast("long").alias("n"), F.col("value")[64].cast("double").alias("first"))
+    return numbered(c.frame(c.ops.CloneChannels(vector=v, times=3)))
 
 
 @query("SELECT conv_id AS stream_id, turn AS row_id, role, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), role) AS next_role FROM conversations")
@@ -318,11 +317,213 @@ def null_propagation(spark, sf_dir):
     return plain(c.frame(c.ops.Sum(spaced, spaced)))
 
 
-@query("SELECT vec_id AS row_id, CAST(0 AS DOUBLE) AS border, (CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) + CAST(embedding[3] AS DOUBLE)) / 3 AS second FROM embeddings")
+@query("SELECT vec_id AS row_id, i AS at, CASE WHEN i BETWEEN 1 AND len(e) - 2 THEN (e[i] + e[i + 1] + e[i + 2]) / 3 ELSE 0 END AS value FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, unnest(range(len(embedding))) AS i FROM embeddings)")
 def sliding_mean(spark, sf_dir):
     c, v = vectors(spark, sf_dir)
-    df = c.frame(c.ops.SlidingMean(vector=c.ops.Widen(vector=v), width=3))
-    return df.select("row_id", F.col("value")[0].alias("border"), F.col("value")[1].alias("second"))
+    return numbered(c.frame(c.ops.SlidingMean(vector=c.ops.Widen(vector=v), width=3)))
+
+
+@query("SELECT event_id // 10 AS row_id, CASE WHEN event_id = 0 THEN 0 ELSE 3 END AS value FROM events WHERE event_id % 10 = 0")
+def bounded_state_stride(spark, sf_dir):
+    """Every tenth row of a whole stream: state restarts at each, three rows before it."""
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Stride(c.ops.CounterBounded(ignore=e, bounded_state=3), [10])))
+
+
+GATHERED = [7 * i + i % 3 for i in range(400)]
+
+
+@query("WITH want AS (SELECT i, 7 * i + i % 3 AS r FROM range(400) t(i) WHERE 7 * i + i % 3 < (SELECT count(*) FROM events)), need AS (SELECT DISTINCT e.event_id AS r FROM events e, want w WHERE e.event_id BETWEEN w.r - 3 AND w.r), isl AS (SELECT r, r - row_number() OVER (ORDER BY r) AS g FROM need), cnt AS (SELECT r, row_number() OVER (PARTITION BY g ORDER BY r) - 1 AS v FROM isl) SELECT i AS row_id, v AS value FROM want JOIN cnt USING (r)")
+def bounded_state_gather(spark, sf_dir):
+    """Four hundred gathered rows, each with the rows that warm up its state."""
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Gather(c.ops.CounterBounded(ignore=e, bounded_state=3), [GATHERED])))
+
+
+@query("SELECT user_id AS stream_id, row_id // s AS row_id, CASE WHEN s <= 3 THEN row_id ELSE least(row_id, 2) END AS value FROM (SELECT user_id, 1 + user_id % 11 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_id FROM events) WHERE row_id % s = 0")
+def bounded_state_streams(spark, sf_dir):
+    """Many streams, of each of which other rows are wanted."""
+    c = Client(spark)
+    batch, users = by_user(spark, sf_dir)
+    strides = [1 + r["user_id"] % 11 for r in users.orderBy("stream_id").select("user_id").collect()]
+    df = c.frame(c.streams.Stride(c.ops.CounterBounded(ignore=c.io.Input(batch), bounded_state=2), strides))
+    return df.join(users, "stream_id").select(F.col("user_id").alias("stream_id"), "row_id", "value")
+
+
+@query("WITH RECURSIVE e AS (SELECT event_id // 40 AS s, event_id % 40 AS p, value FROM events), r AS (SELECT s, p, value FROM e WHERE p = 0 UNION ALL SELECT e.s, e.p, (CAST(1 AS DOUBLE) - CAST(0.05 AS DOUBLE)) * r.value + CAST(0.05 AS DOUBLE) * e.value FROM r JOIN e ON e.s = r.s AND e.p = r.p + 1) SELECT s * 40 + p AS row_id, value FROM r")
+def moving_average(spark, sf_dir):
+    """Bounded state in slices that are shorter than its warm-up."""
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.streams.Unslice(c.ops.MovingAverage(value=c.streams.Slice(e, [c.partitioner.all(40)])))))
+
+
+@query("SELECT doc_id AS row_id, CAST(len(text) AS BIGINT) AS value FROM documents")
+def batch_kernel(spark, sf_dir):
+    """A Python function over batches of elements."""
+    c = Client(spark)
+    docs = c.io.Input([FrameStream(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")])
+    return plain(c.frame(c.ops.TextLengths(text=docs, batch=37)))
+
+
+@query("SELECT event_id AS row_id, greatest(value, lag(value, 1, value) OVER w, lead(value, 1, value) OVER w) - least(value, lag(value, 1, value) OVER w, lead(value, 1, value) OVER w) AS value FROM events WINDOW w AS (ORDER BY event_id)")
+def stencil_batch(spark, sf_dir):
+    """A Python function over batches of windows."""
+    c, e = events(spark, sf_dir)
+    return plain(c.frame(c.ops.WindowSpread(value=e)))
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder for a warehouse, where executors see it too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/rowloom-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id // 2 AS row_id, value - lag(value, 1, value) OVER (ORDER BY event_id) AS value FROM events QUALIFY event_id % 2 = 0")
+def run_round_trip(spark, sf_dir):
+    """A job's output, read back from the catalog."""
+    _, e = events(spark, sf_dir)
+    c = Client(spark, workspace(spark))
+    c.run(c.io.Output(c.streams.Stride(c.ops.Difference(value=e), [2]).lossless(), [c.stream("out")]))
+    return c.stream("out").read().select("row_id", F.col("column").alias("value"))
+
+
+@query("SELECT step, outcome, CAST((SELECT count(*) FROM events) AS BIGINT) AS n FROM (VALUES (0, 'run'), (1, 'error'), (2, 'skipped'), (3, 'run')) v(step, outcome)")
+def cache_modes(spark, sf_dir):
+    """What a second run of a job does with its output."""
+    _, e = events(spark, sf_dir)
+    c = Client(spark, workspace(spark))
+    sink, rows = c.io.Output(e, [c.stream("out")]), []
+    for step, mode in enumerate((CacheMode.ERROR, CacheMode.ERROR, CacheMode.IGNORE, CacheMode.OVERWRITE)):
+        try:
+            outcome = "skipped" if c.run(sink, cache_mode=mode) is None else "run"
+        except ValueError:
+            outcome = "error"
+        rows.append((step, outcome, c.stream("out").length()))
+    return spark.createDataFrame(rows, "step int, outcome string, n long")
+
+
+@query("SELECT event_type AS name, count(*) AS n, max(value) <= 350 AS committed FROM events GROUP BY event_type")
+def failed_streams(spark, sf_dir):
+    """Streams with an element that their kernel fails on are left uncommitted; the others aren't."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kinds = sorted(r["event_type"] for r in e.select("event_type").distinct().collect())
+    c = Client(spark, workspace(spark))
+    numbered_rows = e.select("event_type", "value", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("row_id"))
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")) - 1
+    x = c.io.Input(StreamBatch(numbered_rows.withColumn("stream", place), "stream", "row_id", ["value"]))
+    c.run(c.io.Output(c.ops.AtMost(value=x, limit=350.0), [c.stream(k) for k in kinds]))
+    return c.catalog.summarize().select("name", F.col("rows").alias("n"), "committed")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS row_id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+def new_table(spark, sf_dir):
+    """A table out of literal values, with two columns of bytes."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+    c = Client(spark, workspace(spark))
+    c.catalog.new_table("nation", ["name", "region"], [[r["n_name"], str(r["n_regionkey"])] for r in rows], [str.encode, str.encode])
+    return c.table("nation").frame().select("row_id", F.col("name").cast("string"), F.col("region").cast("string"))
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS row_id, r_name AS value FROM region")
+def packed_file(spark, sf_dir):
+    """The elements of one packed file."""
+    names = [r["r_name"].encode() for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
+    c = Client(spark, workspace(spark))
+    path = f"{c.catalog.warehouse}/regions.bin"
+    c.catalog.write_file(path, pack_rows(names))
+    return c.frame(c.io.Input([PackedFileStream(spark, path)])).select("row_id", F.col("value").cast("string"))
+
+
+def line_boxes(spark: SparkSession, sf_dir: str) -> tuple[Client, Any]:
+    """For each order the boxes of its lines: those of equal l_partkey % 3 lie on each other, others apart."""
+    x = (F.col("l_partkey") % 3 * 100).cast("float")
+    number = lambda n: F.lit(n).cast("float")
+    box = F.struct(x.alias("x1"), number(0).alias("y1"), (x + 50).cast("float").alias("x2"), number(50).alias("y2"), F.col("l_quantity").cast("float").alias("score"), F.lit(None).cast("int").alias("track_id"), F.lit(None).cast("double").alias("track_score"), F.lit(None).cast("int").alias("label"))
+    orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes"))
+    c = Client(spark)
+    return c, c.io.Input([FrameStream(orders, "l_orderkey", "boxes")])
+
+
+def box_rows(df: DataFrame) -> DataFrame:
+    return df.select("row_id", F.explode("value").alias("b")).select("row_id", F.round(F.col("b.x1") / 100).cast("long").alias("slot"), F.round(F.col("b.x2")).cast("long").alias("right"), F.col("b.score").cast("double").alias("score"))
+
+
+BOX_SQL = "SELECT l_orderkey AS row_id, CAST(l_partkey % 3 AS BIGINT) AS slot, CAST(l_partkey % 3 * 100 + 50 AS BIGINT) AS right, CAST(max(l_quantity) AS DOUBLE) AS score FROM lineitem GROUP BY ALL"
+
+
+@query(BOX_SQL)
+def best_boxes(spark, sf_dir):
+    c, found = line_boxes(spark, sf_dir)
+    return box_rows(c.frame(c.ops.BestBoxes(found=found, overlap=0.3)))
+
+
+@query(BOX_SQL)
+def average_boxes(spark, sf_dir):
+    c, found = line_boxes(spark, sf_dir)
+    return box_rows(c.frame(c.ops.AverageBoxes(found=found, overlap=0.3)))
+
+
+@query("SELECT event_id AS row_id, CASE WHEN event_id % 15 < 10 THEN CAST((10 - event_id % 15) * 10 AS DOUBLE) / (200 - (10 - event_id % 15) * 10) ELSE 0 END AS value FROM events")
+def box_overlap(spark, sf_dir):
+    """Intersection over union of two columns of boxes."""
+    c = Client(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    box = lambda x: F.struct(x.cast("float").alias("x1"), F.lit(0.0).cast("float").alias("y1"), (x + 10).cast("float").alias("x2"), F.lit(10.0).cast("float").alias("y2"))
+    df = e.select(F.lit(0).alias("s"), "event_id", box(F.lit(0)).alias("a"), box(F.col("event_id") % 15).alias("b"))
+    a, b = c.io.columns(StreamBatch(df, "s", "event_id", ["a", "b"], [e.count()]))
+    return plain(c.frame(c.ops.Overlap(first=a, second=b)))
+
+
+@query("SELECT event_id AS row_id, CAST(32 AS INT) AS width, CAST(floor(32 / (CAST(10 + event_id % 50 AS DOUBLE) / (5 + event_id % 7))) AS INT) AS height FROM events")
+def resized_sizes(spark, sf_dir):
+    """The size that a resize to a width gives, by aspect."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    size = resized(10 + F.col("event_id") % 50, 5 + F.col("event_id") % 7, F.lit(32), F.lit(0))
+    return e.select(F.col("event_id").alias("row_id"), size.alias("s")).select("row_id", "s.width", "s.height")
+
+
+#: Frames of 8 x 8 numbers out of the vectors, as the queries below make them.
+LEVELS = "levels AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 127.5))) AS BIGINT)) AS l FROM embeddings)"
+
+
+def frames(spark: SparkSession, sf_dir: str, channels: int = 1) -> tuple[Client, Any]:
+    c, v = vectors(spark, sf_dir)
+    return c, c.ops.ToFrame(vector=v, width=8, channels=channels)
+
+
+@query(f"WITH {LEVELS} SELECT vec_id AS row_id, i AS at, CAST(CASE WHEN i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6 THEN (l[i - 8] + l[i - 7] + l[i - 6] + l[i] + l[i + 1] + l[i + 2] + l[i + 8] + l[i + 9] + l[i + 10]) // 9 ELSE 0 END AS DOUBLE) AS value FROM (SELECT vec_id, l, unnest(range(64)) AS i FROM levels)")
+def blurred_frames(spark, sf_dir):
+    c, f = frames(spark, sf_dir)
+    return numbered(c.frame(c.ops.ToNumbers(frame=c.ops.Blur(frame=f, kernel_size=3))))
+
+
+@query(f"WITH {LEVELS} SELECT vec_id AS row_id, i AS at, CAST(l[i + 1] AS DOUBLE) AS value FROM (SELECT vec_id, l, unnest(range(64)) AS i FROM levels)")
+def encoded_frames(spark, sf_dir):
+    """Frames through PNG files and back."""
+    c, f = frames(spark, sf_dir)
+    return numbered(c.frame(c.ops.ToNumbers(frame=c.ops.ImageDecoder(image=c.ops.ImageEncoder(frame=f)))))
+
+
+@query(f"WITH {LEVELS} SELECT vec_id AS row_id, c AS channel, b AS bin, CAST(len(list_filter(l, lambda x: x // 16 = b)) AS BIGINT) AS n FROM levels, range(3) r(c), range(16) s(b)")
+def color_histogram(spark, sf_dir):
+    """Counts in 16 bins of each of three channels of a frame."""
+    c, f = frames(spark, sf_dir, 3)
+    df = c.frame(c.ops.Histogram(frame=f)).select("row_id", F.posexplode("value").alias("channel", "h"))
+    return df.select("row_id", F.col("channel").cast("long"), F.posexplode("h").alias("bin", "n")).select("row_id", "channel", F.col("bin").cast("long"), F.col("n").cast("long"))
+
+
+@query(f"WITH {LEVELS}, pairs AS (SELECT vec_id, l, coalesce(lead(l) OVER (ORDER BY vec_id), l) AS m FROM levels) SELECT vec_id AS row_id, i AS at, CAST(m[i + 1] - l[i + 1] AS DOUBLE) AS value FROM (SELECT vec_id, l, m, unnest(range(64)) AS i FROM pairs)")
+def frame_differences(spark, sf_dir):
+    """Every frame's change to the next one, a stencil over frames."""
+    c, f = frames(spark, sf_dir)
+    return numbered(c.frame(c.ops.ToNumbers(frame=c.ops.FrameDifference(frame=f))))
+
+
+@query(f"WITH {LEVELS} SELECT vec_id AS row_id, i AS at, round_even(CAST(l[k] + l[k + 1] + l[k + 8] + l[k + 9] AS DOUBLE) / 4, 0) AS value FROM (SELECT vec_id, l, i, (i // 4) * 16 + (i % 4) * 2 + 1 AS k FROM (SELECT vec_id, l, unnest(range(16)) AS i FROM levels))")
+def resized_frames(spark, sf_dir):
+    """Frames at half their size, by arguments of the stream."""
+    c, f = frames(spark, sf_dir)
+    return numbered(c.frame(c.ops.ToNumbers(frame=c.ops.Resize(frame=f, width=[4], height=[4]))))
 
 
 WINDOW_ROWS, SIGMAS = 50, 2

@@ -59,13 +59,17 @@ class Catalog:
     def put(self, entry: Entry) -> None:
         """Write an entry; a rename makes it visible whole."""
         final, part = self._entry_path(entry.name), f"{self.warehouse}/_catalog/.{uuid.uuid4().hex}"
-        fs, p = self._fs(part)
+        self.write_file(part, json.dumps(asdict(entry)).encode())
+        fs, target = self._fs(final)
+        fs.delete(target, False)
+        fs.rename(self._fs(part)[1], target)
+
+    def write_file(self, path: str, data: bytes) -> None:
+        """One file, wherever Hadoop's file systems reach."""
+        fs, p = self._fs(path)
         out = fs.create(p)
-        out.write(bytearray(json.dumps(asdict(entry)).encode()))
+        out.write(bytearray(data))
         out.close()
-        target = self._fs(final)[1]
-        fs.delete(target, False)
-        fs.rename(p, target)
 
     def put_all(self, entries: list[Entry]) -> None:
         """Write many entries, some at a time."""

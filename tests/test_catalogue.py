@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("events", "embeddings", "orders", "documents", "conversations"):
+    for t in ("events", "embeddings", "orders", "lineitem", "documents", "conversations", "nation", "region"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     ours = catalogue.QUERIES[name](spark, SMALL)
     cursor = c.execute(catalogue.ORACLE_SQL[name])
