@@ -1,12 +1,11 @@
 """SimHash near-dedup: 64-bit fingerprints, linked by a self-join of binary tries.
 
-Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit blocks at least. So each of the four
-rotations that put a block on top makes a trie whose node pairs can be pruned at once where their top 16 bits differ;
-what is left is one subtrie a block value, joined with itself in one task. The join goes down in node pairs, adds the
-bits in which they differ, and drops a pair when its error budget is exceeded. Where a subtrie has very many fingerprints
-its lower bits are cut into four blocks again, each of which turns to the top in one of four copies, and so on: subtries
-get deeper where there are more fingerprints, and 52 shared bits leave no more than 4,096 of them. A task returns a
-spanning forest of its links.
+Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit blocks at least (k bits: k + 1 blocks). So each
+of the four rotations that put a block on top makes a trie whose node pairs can be pruned at once where their top 16 bits
+differ; what is left is one subtrie a block value, joined with itself in one task. The join goes down in node pairs, adds
+the bits in which they differ, and drops a pair when its error budget is exceeded. Where a subtrie has very many
+fingerprints its lower bits are cut into four blocks again, each of which turns to the top in one of four copies, and so
+on: subtries get deeper where there are more fingerprints. A task returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -27,6 +26,8 @@ from rowloom.llm.runs import whole_groups
 
 SHINGLE = 3
 BITS = 3
+#: Bits in which texts differ on average whose sets of five-word shingles have a Jaccard similarity of 0.8.
+NEAR_BITS = 7
 SEED = 42
 #: A subtrie with more fingerprints is split further.
 HOT = 20_000
@@ -115,12 +116,12 @@ def join_tries(values: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bi
         stack.append((d + 1, *(x[keep].astype(x.dtype) for x in children)))
 
 
-def _deeper(rows: DataFrame, depth: int) -> DataFrame:
-    """Each row once for each of four blocks of the bits below ``depth``, with the bits turned so that the block is next.
+def _deeper(rows: DataFrame, depth: int, blocks: int) -> DataFrame:
+    """Each row once for each block of the bits below ``depth``, with the bits turned so that the block is next.
 
-    Values within three bits that agree above ``depth`` agree in one of the blocks too.
+    Values that agree above ``depth`` and differ in fewer bits than there are blocks agree in one of the blocks too.
     """
-    below, width = 64 - depth, (64 - depth) // 4
+    below, width = 64 - depth, (64 - depth) // blocks
     low = (1 << below) - 1 if below < 64 else -1
     value, kept = F.col("value"), F.col("value").bitwiseAND(F.lit(~low))
 
@@ -128,27 +129,30 @@ def _deeper(rows: DataFrame, depth: int) -> DataFrame:
         rest = value.bitwiseAND(F.lit(low))
         return kept.bitwiseOR(F.shiftleft(rest, by).bitwiseAND(F.lit(low))).bitwiseOR(F.shiftrightunsigned(rest, below - by)) if by else value
 
-    four = F.explode(F.array(*(F.struct((F.col("trail") * 4 + r).alias("trail"), turned(r * width).alias("value")) for r in range(4))))
-    found = rows.select("fp", four.alias("t")).select("fp", "t.trail", "t.value")
+    each = F.explode(F.array(*(F.struct((F.col("trail") * blocks + r).alias("trail"), turned(r * width).alias("value")) for r in range(blocks))))
+    found = rows.select("fp", each.alias("t")).select("fp", "t.trail", "t.value")
     return found.withColumn("node", F.shiftrightunsigned("value", below - width))
 
 
-def near_links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect all that are within ``bits`` <= 3 bits.
+def near_links(prints: DataFrame, bits: int = BITS, hot: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) that connect all that are within ``bits`` <= 7 bits.
 
-    The edges of one subtrie are a spanning forest of its links, so they are fewer than its fingerprints.
+    The edges of one subtrie are a spanning forest of its links, so they are fewer than its fingerprints. Subtries with
+    more than ``hot`` fingerprints are split as long as that makes them smaller by more than it copies them.
     """
-    if not 0 <= bits <= 3:
-        raise ValueError("four blocks are exact for up to 3 differing bits")
-    rows, depth, cold = _deeper(prints.select("fp", F.lit(1).cast("long").alias("trail"), F.col("fp").alias("value")), 0), 16, []
-    while True:
+    if not 0 <= bits <= 7:
+        raise ValueError("tries are joined for up to 7 differing bits")
+    hot, blocks = hot or (HOT if bits <= BITS else HOT // 5), bits + 1
+    first = depth = 64 // blocks
+    rows, cold = _deeper(prints.select("fp", F.lit(1).cast("long").alias("trail"), F.col("fp").alias("value")), 0, blocks), []
+    while 1 << (width := (64 - depth) // blocks) > blocks:
         large = rows.groupBy("trail", "node").count().where(F.col("count") > hot).select(F.col("trail").alias("h_trail"), F.col("node").alias("h_node"))
-        if not (64 - depth) // 4 or not (number := (large := cut(large)).count()):
+        if not (number := (large := cut(large)).count()):
             break
         marked = rows.join(F.broadcast(large) if number <= FEW else large, (F.col("trail") == F.col("h_trail")) & (F.col("node") == F.col("h_node")), "left")
         cold.append(marked.where("h_node IS NULL").select(rows.columns))
-        rows = cut(_deeper(marked.where("h_node IS NOT NULL"), depth))
-        depth += (64 - depth) // 4
+        rows = cut(_deeper(marked.where("h_node IS NOT NULL"), depth, blocks))
+        depth += width
     keys = ["trail", "node"]
     unsigned = F.col("value").bitwiseXOR(F.lit(-(1 << 63)))
     ordered = reduce(DataFrame.union, [*cold, rows]).repartition(*keys).sortWithinPartitions(*keys, unsigned)
@@ -159,7 +163,7 @@ def near_links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame
             start, end = at[:-1], at[1:]
             some = end - start > 1
             forest = Forest(len(values))
-            for a, b in join_tries(values, (start[some], end[some], start[some], end[some]), 16, bits):
+            for a, b in join_tries(values, (start[some], end[some], start[some], end[some]), first, bits):
                 forest.link(a, b)
             child = np.flatnonzero(forest.label != np.arange(len(values)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[forest.label[child]])], ["a", "b"])
@@ -190,9 +194,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(classes, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = NEAR_BITS) -> DataFrame:
     """One row of each class of near copies, with the columns of ``docs``: that of the smallest id.
 
+    Copies are near if their fingerprints differ in at most ``bits`` bits. By default these are 7 of 64, which is what texts
+    of a Jaccard similarity of 0.8 between their sets of five-word shingles differ in on average.
+
     Rows with a null id come after all others. Of a class's rows that share its smallest id the one whose columns have
     the least 64-bit hash stays (columns that hold maps are left out of it); equal rows are one. So classes never lose
     their last row, however often ids repeat. An empty table gives no rows.

@@ -12,7 +12,7 @@ from test_groups import brute_fingerprint, brute_targets, lowest
 from test_texts import WORD, brute_counts, brute_ratio, brute_repeats
 
 import corpus_pipeline
-from rowloom.llm import pieces, queries, rules
+from rowloom.llm import pieces, queries, rules, simhash
 
 
 def rows():
@@ -42,7 +42,7 @@ def rules_stage(docs, labels):
 
 def simhash_stage(docs):
     prints = [brute_fingerprint(d[1]) for d in docs]
-    label = lowest(range(len(docs)), [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    label = lowest(range(len(docs)), [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.NEAR_BITS])
     return [docs[i] for i in sorted(set(label.values()))]
 
 
@@ -68,7 +68,7 @@ def mix_stage(docs):
         budget = int(target + 0.5)
         epochs, rest = divmod(budget, sums[s])
         before = 0
-        for d in sorted(by_source[s], key=lambda d: hashlib.md5(f"mix-1:{d[0]}".encode()).hexdigest()):
+        for d in sorted(by_source[s], key=lambda d: hashlib.md5(f"mix-1:{d[0]}:{hashlib.md5(d[1].encode()).hexdigest()}".encode()).hexdigest()):
             extra = before + size(d) <= rest or before < rest and 2 * (rest - before) >= size(d)
             out += [d] * (epochs + extra)
             before += size(d)
