@@ -71,6 +71,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the folder of a table that stored() has written, once nothing reads it any more."""
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("stored-") and folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() splits at exactly the six ASCII white-space characters."""
     if text is None:

@@ -47,3 +47,13 @@ def test_ids_of_other_types(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
     assert got == {("a", "a"), ("b", "a"), (None, "a"), ("c", "c")}
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {"a", "c"}
+
+
+def test_columns_of_clashing_names_stay(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 60), prose(rng, 60)
+    names = ["fp", "row", "own", "first", "component", "node", "trail", "value", "id", "none"]
+    rows = [(i, t, *([i] * len(names))) for i, t in enumerate([a, b, a, a])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` long" for n in names)]))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted(rows[:2])
