@@ -9,6 +9,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from enum import Enum
@@ -28,7 +29,7 @@ from rowloom.plans import domain as D
 from rowloom.plans.graph import GraphError, Node, Output, make_op, order
 from rowloom.plans.lower import Lowering, Performance
 from rowloom.session import importable
-from rowloom.sources.catalog import Catalog, Entry, ExternalSink, NamedStream, StoredStream, StreamBatch, Table
+from rowloom.sources.catalog import Catalog, Entry, ExternalSink, NamedStream, StoredStream, StreamBatch, Table, read_together
 
 
 class CacheMode(Enum):
@@ -112,10 +113,16 @@ class Inputs:
             raise GraphError("the streams of an Input must be of one kind")
 
         def read(spark: SparkSession) -> DataFrame:
+            if isinstance(streams[0], NamedStream) and (whole := read_together(streams)) is not None:
+                return whole
             parts = [s.read().select(F.lit(i).alias("stream_id"), "row_id", "column") for i, s in enumerate(streams)]
             return reduce(DataFrame.unionByName, parts)
 
-        return Node("source", outputs=("column",), spec={"read": read, "counts": lambda: [s.length() for s in streams]}).output()
+        def counts() -> list[int]:
+            with ThreadPoolExecutor(min(16, len(streams))) as pool:
+                return list(pool.map(lambda s: s.length(), streams))
+
+        return Node("source", outputs=("column",), spec={"read": read, "counts": counts}).output()
 
     def columns(self, batch: StreamBatch) -> tuple[Output, ...]:
         """All value columns of a batch; operations over several of them need no join."""

@@ -163,3 +163,54 @@ def blur(frame: np.ndarray, size: int) -> np.ndarray:
     windows = np.lib.stride_tricks.sliding_window_view(frame.astype(float), (size, size), axis=(0, 1))
     out[left : left + windows.shape[0], left : left + windows.shape[1]] = windows.mean(axis=(-2, -1)).astype(frame.dtype)
     return out
+
+
+#: Shares of red, green and blue in grey.
+_GREY = np.array([0.299, 0.587, 0.114])
+
+
+def convert(frame: np.ndarray, kind: str) -> np.ndarray:
+    """Colours of a frame: ``grey`` (one channel out of three or four), ``rgb`` (three out of one, or without the fourth) or
+    ``swap`` (red and blue exchanged)."""
+    c = frame.shape[2]
+    if kind == "grey":
+        if c == 1:
+            return frame
+        grey = frame[:, :, :3].astype(float) @ _GREY
+        return (np.rint(grey) if np.issubdtype(frame.dtype, np.integer) else grey).astype(frame.dtype)[:, :, None]
+    if kind == "rgb":
+        return np.repeat(frame, 3, axis=2) if c == 1 else frame[:, :, :3]
+    if kind == "swap" and c >= 3:
+        return np.concatenate((frame[:, :, 2::-1], frame[:, :, 3:]), axis=2)
+    raise ValueError(f"no {kind} of {c} channels")
+
+
+def draw_boxes(frame: np.ndarray, boxes: np.ndarray, colour: tuple[int, ...] = (255, 0, 0), width: int = 1) -> np.ndarray:
+    """A copy of a frame with the edges of boxes (x1, y1, x2, y2, ...) in a colour; what lies outside is left out."""
+    out, (h, w) = frame.copy(), frame.shape[:2]
+    paint = np.asarray(colour[: frame.shape[2]], frame.dtype)
+    for x1, y1, x2, y2 in np.rint(np.asarray(boxes, float).reshape(len(boxes), -1)[:, :4]).astype(int):
+        for top, bottom, left, right in ((y1, y1 + width, x1, x2 + 1), (y2 - width + 1, y2 + 1, x1, x2 + 1), (y1, y2 + 1, x1, x1 + width), (y1, y2 + 1, x2 - width + 1, x2 + 1)):
+            out[max(0, top) : max(0, min(h, bottom)), max(0, left) : max(0, min(w, right))] = paint
+    return out
+
+
+def _box_sums(x: np.ndarray, size: int) -> np.ndarray:
+    """Sums over size x size windows around each pixel, edges repeated."""
+    half = size // 2
+    sums = np.cumsum(np.cumsum(np.pad(x, ((half + 1, half), (half + 1, half)), mode="edge"), axis=0), axis=1)
+    return sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]
+
+
+def optical_flow(before: np.ndarray, after: np.ndarray, size: int = 9) -> np.ndarray:
+    """Where the pixels of a frame go: (x, y) offsets as float32, by least squares of brightness changes over windows.
+
+    Windows without texture have offsets near 0. Motions of more than a pixel or two are beyond it.
+    """
+    a, b = (convert(f, "grey")[:, :, 0].astype(float) for f in (before, after))
+    dy, dx = np.gradient((a + b) / 2)
+    dt = b - a
+    xx, xy, yy, xt, yt = (_box_sums(v, size) for v in (dx * dx, dx * dy, dy * dy, dx * dt, dy * dt))
+    xx, yy = xx + 1e-3, yy + 1e-3
+    scale = xx * yy - xy * xy
+    return np.stack(((xy * yt - yy * xt) / scale, (xy * xt - xx * yt) / scale), axis=2).astype(np.float32)

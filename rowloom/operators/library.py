@@ -125,6 +125,23 @@ def frame_difference(config, frame: Sequence[Frame]) -> Frame:
     return frame[1].astype(np.float32) - frame[0].astype(np.float32)
 
 
+@register_op(name="OpticalFlow", stencil=[0, 1])
+def optical_flow(config, frame: Sequence[Frame]) -> Frame:
+    """The offsets (x, y) of each pixel from this frame to the next one."""
+    return images.optical_flow(frame[0], frame[1], config.args.get("size", 9))
+
+
+@register_op(name="ConvertColor")
+def convert_color(config, frame: Frame) -> Frame:
+    return images.convert(frame, config.args.get("to", "grey"))
+
+
+@register_op(name="DrawBoxes")
+def draw_boxes(config, frame: Frame, found: Boxes) -> Frame:
+    """A frame with the edges of boxes."""
+    return images.draw_boxes(frame, _rows(found), tuple(config.args.get("color", (255, 0, 0))), config.args.get("width", 1))
+
+
 class _Counter:
     """Rows since the last reset."""
 

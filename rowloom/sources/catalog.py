@@ -263,6 +263,28 @@ class NamedStream(StoredStream):
             return None
 
 
+def read_together(streams: list[NamedStream]) -> DataFrame | None:
+    """Streams that one job wrote, as one scan whose partitions are pruned: stream_id (their places in the list), row_id and
+    column. None if they lie apart, if one is listed twice, or if there are too few to matter."""
+    if len(streams) < 3:
+        return None
+    with ThreadPoolExecutor(16) as pool:
+        entries = list(pool.map(lambda s: (s._entry(), s.column), streams))
+    parts = [e.path.rsplit("/stream_id=", 1) for e, _ in entries]
+    if any(len(p) != 2 for p in parts) or len({p[0] for p in parts}) > 1 or len({p[1] for p in parts}) < len(parts) or len({c for _, c in entries}) > 1:
+        return None
+    if not all(e.committed for e, _ in entries):
+        raise ValueError(f"stream {next(e.name for e, _ in entries if not e.committed)} is not committed")
+    if not any(e.rows for e, _ in entries):
+        return None
+    place = {int(p[1]): i for i, p in enumerate(parts)}
+    df = streams[0].catalog.spark.read.parquet(parts[0][0]).where(F.col("stream_id").isin(list(place)))
+    if all(k == i for k, i in place.items()):
+        return df.select("stream_id", "row_id", F.col(entries[0][1]).alias("column"))
+    known = streams[0].catalog.spark.createDataFrame(list(place.items()), "p_stream int, p_place int")
+    return df.join(F.broadcast(known), F.col("stream_id") == F.col("p_stream")).select(F.col("p_place").alias("stream_id"), "row_id", F.col(entries[0][1]).alias("column"))
+
+
 class Table:
     """All columns of a stream in the catalog."""
 

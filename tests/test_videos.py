@@ -117,3 +117,52 @@ def test_ingest_key_frames_and_export(spark, client, tmp_path):  # noqa: F811
     assert inplace.length() == 6 and inplace.keyframes() == list(range(6))
     assert all((np.frombuffer(bytes(r["column"]["data"]), np.uint8).reshape(9, 13, 3) == f).all() for r, f in zip(inplace.read().orderBy("row_id").collect(), frames))
     assert NamedVideoStream(client.catalog, "again", path("out.mp4")).metadata()["fps"] == 30.0
+
+
+def test_colours_boxes_and_flow():
+    rng = np.random.default_rng(4)
+    frame = clip(1)[0]
+    assert images.convert(frame, "grey")[2, 3, 0] == round(float(frame[2, 3] @ np.array([0.299, 0.587, 0.114])))
+    assert (images.convert(images.convert(frame, "swap"), "swap") == frame).all() and images.convert(images.convert(frame, "grey"), "rgb").shape == frame.shape
+    with pytest.raises(ValueError):
+        images.convert(frame, "none")
+    drawn = images.draw_boxes(frame, [[2, 1, 6, 5, 0.9], [-5, -5, 50, 50, 0.1], [90, 90, 99, 99, 1]])
+    edge = np.zeros(frame.shape[:2], bool)
+    edge[1, 2:7] = edge[5, 2:7] = edge[1:6, 2] = edge[1:6, 6] = True
+    assert (drawn[edge] == (255, 0, 0)).all() and (drawn[~edge] == frame[~edge]).all()
+    y, x = np.mgrid[:48, :64].astype(float)
+    phase = rng.uniform(0, 6, 6)
+    scene = lambda dx, dy: sum(np.sin((x - dx) * k * 0.09 + p) * np.cos((y - dy) * k * 0.07 + p) for k, p in enumerate(phase, 1))[:, :, None] * 20 + 100
+    flow = images.optical_flow(scene(0, 0), scene(0.6, -0.4))
+    assert flow.shape == (48, 64, 2) and np.abs(flow[8:-8, 8:-8] - (0.6, -0.4)).mean() < 0.05
+
+
+def test_boxes_on_frames(spark, client):  # noqa: F811
+    from rowloom.sources.catalog import StreamBatch
+
+    frames = clip(3)
+    box = lambda x: {"x1": x, "y1": 1.0, "x2": x + 3, "y2": 5.0, "score": 0.5, "track_id": None, "track_score": None, "label": None}
+    from rowloom.types import BOX, FRAME, encode_frame
+
+    rows = [(0, i, encode_frame(f), [box(float(i))]) for i, f in enumerate(frames)]
+    df = spark.createDataFrame(rows, f"s int, i long, frame {FRAME.simpleString()}, boxes array<{BOX.simpleString()}>")
+    frame, found = client.io.columns(StreamBatch(df, "s", "i", ["frame", "boxes"]))
+    grey = client.ops.ConvertColor(frame=client.ops.DrawBoxes(frame=frame, found=found, color=(9, 9, 9)), to="grey")
+    client.run([client.io.Output(grey, [client.stream("drawn")]), client.io.Output(client.ops.OpticalFlow(frame=frame), [client.stream("flow")])])
+    drawn = list(client.stream("drawn").load())
+    assert all((d[1, i : i + 4] == 9).all() for i, d in enumerate(drawn)) and [f.shape for f in client.stream("flow").load()] == [(9, 13, 2)] * 3
+
+
+def test_streams_of_one_job_are_one_scan(spark, client):  # noqa: F811
+    from test_engine import numbers, values
+
+    x = client.io.Input([numbers(spark, n) for n in (4, 0, 7, 5)])
+    client.run(client.io.Output(x, [client.stream(f"t{i}") for i in range(4)]))
+    for order in ([0, 1, 2, 3], [3, 0, 2]):
+        df = client.frame(client.io.Input([client.stream(f"t{i}") for i in order]))
+        got = {i: [] for i in range(len(order))}
+        for r in df.orderBy("stream_id", "row_id").collect():
+            got[r["stream_id"]].append(r["value"])
+        assert [got[i] for i in range(len(order))] == [list(range((4, 0, 7, 5)[k])) for k in order]
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert values(client.frame(client.io.Input([client.stream("t2")]))) == list(range(7))
