@@ -323,7 +323,7 @@ def sliding_mean(spark, sf_dir):
     return numbered(c.frame(c.ops.SlidingMean(vector=c.ops.Widen(vector=v), width=3)))
 
 
-@query("SELECT event_id // 10 AS row_id, CASE WHEN event_id = 0 THEN 0 ELSE 3 END AS value FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id // 10 AS row_id, CAST(CASE WHEN event_id = 0 THEN 0 ELSE 3 END AS BIGINT) AS value FROM events WHERE event_id % 10 = 0")
 def bounded_state_stride(spark, sf_dir):
     """Every tenth row of a whole stream: state restarts at each, three rows before it."""
     c, e = events(spark, sf_dir)
