@@ -13,15 +13,15 @@ hashes with its source coordinates. The joins then compact the repeated paths:
 Repeated edges come back as (document, first window, windows); the spans of a document are their union. A common passage is
 one aggregate row a task, and Spark can split the joins that bring its occurrences back.
 
-Hashes only propose. At the source coordinates the words themselves are read again, and every occurrence of a repeated path
-or edge must have the same 128-bit BLAKE2 digest of its words. Where a group has two digests, hashes have collided: all
-windows of its anchor are then compared by their digests, and only those stay that two places have.
+Hashes only propose. When the spans are cut out, the words are read again at the source coordinates, and every occurrence of
+a repeated path or edge must have the same BLAKE2 digest of its words. Where a group has two digests, hashes have collided:
+all windows of its anchor are then compared by longer digests, and only those stay that two places have.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -30,6 +30,8 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rowloom.llm.common import cut, prepare, words
 
@@ -201,41 +203,40 @@ def repeated(keyed: DataFrame, k: int, m: int, bits: int = 64) -> tuple[DataFram
     return runs[0].unionByName(runs[1]).unionByName(matched.select("doc", "place", "anchor", F.col("edge").alias("code"), F.col("single").alias("own"))), known.select("doc", "place", "anchor")
 
 
-def _digests(joined: DataFrame, k: int, each: bool) -> DataFrame:
-    """(anchor, code, high, low) of the words of every listed run; with ``each`` of every window of the runs, whose code is
-    its place."""
+def _windows(joined: DataFrame, k: int) -> DataFrame:
+    """(anchor, doc, place, high, low): every window of the listed runs with the 128-bit digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), batch.column(3)):
+            for doc, tag, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), batch.column(3).to_pylist()):
                 found = words(text)
-                for p in places.values.to_pylist():
-                    first, count = p["place"] >> COUNT_BITS, p["place"] & ((1 << COUNT_BITS) - 1)
-                    for start, size in ((i, 1) for i in range(first, first + count)) if each else ((first, count),):
-                        if start + size - 1 + k <= len(found):
-                            digest = hashlib.blake2b(b" ".join(found[start : start + size - 1 + k]), digest_size=16).digest()
-                            place = start << (TAG_BITS + COUNT_BITS) | 1 << TAG_BITS | tag
-                            rows.append((p["anchor"], place if each else p["code"], doc, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+                for p in listed:
+                    first = p["place"] >> (COUNT_BITS + 1)
+                    for start in range(first, min(first + (p["place"] >> 1 & ((1 << COUNT_BITS) - 1)), len(found) - k + 1)):
+                        digest = hashlib.blake2b(b" ".join(found[start : start + k]), digest_size=16).digest()
+                        rows.append((p["set"], doc, start << (TAG_BITS + COUNT_BITS) | 1 << TAG_BITS | tag, *(int.from_bytes(d, "big", signed=True) for d in (digest[:8], digest[8:]))))
             columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "code", "doc", "high", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "doc", "place", "high", "low"])
 
-    listed = joined.where("__places IS NOT NULL").select("__doc", "__tag", "__text", "__places")
-    return listed.mapInArrow(run, "anchor long, code long, doc long, high long, low long")
+    return joined.select("__doc", "__tag", "__text", "__places").mapInArrow(run, "anchor long, doc long, place long, high long, low long")
 
 
-def _joined(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """The texts, compressed, with their places."""
-    one = F.struct(F.shiftright("place", TAG_BITS).alias("place"), "anchor", "code", "own")
+def _joined(keyed: DataFrame, places: DataFrame, group: Column, how: str) -> DataFrame:
+    """The texts, compressed, with their places: start << 7 | windows << 1 | own, and the group of each."""
+    one = F.struct((F.shiftright("place", TAG_BITS) * 2 + F.col("own").cast("long")).alias("place"), group.alias("set"))
     listed = places.groupBy(F.col("doc").alias("p_doc"), F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("p_tag")).agg(F.collect_set(one).alias("__places"))
     return _packed(keyed).join(listed, (F.col("__doc") == F.col("p_doc")) & (F.col("__tag") == F.col("p_tag")), how).drop("p_doc", "p_tag")
 
 
-def own_places(listed: pa.Scalar) -> np.ndarray | None:
-    """Start << COUNT_BITS | windows of the listed runs that are to go."""
-    if not listed.is_valid:
-        return None
-    return listed.values.field("place").to_numpy()[listed.values.field("own").to_numpy(zero_copy_only=False)]
+def _seen(found: list[bytes], places: np.ndarray, k: int) -> list[int]:
+    """A digest of the words of each run (start << 7 | windows << 1 | own)."""
+    joined = memoryview(b" ".join(found))
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    first, count = places >> (COUNT_BITS + 1), places >> 1 & ((1 << COUNT_BITS) - 1)
+    last = np.minimum(first + count - 1 + k, len(found)) - 1
+    start, end = np.where(first > 0, ends[first - 1], 0), ends[last] - 1
+    return [int.from_bytes(hashlib.blake2b(joined[a:b], digest_size=8).digest(), "big", signed=True) for a, b in zip(start.tolist(), end.tolist())]
 
 
 def removed_words(n: int, places: np.ndarray | None, k: int) -> np.ndarray:
@@ -264,25 +265,46 @@ def cut_words(text: bytes, found: list[bytes], removed: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _with_places(docs: DataFrame, doc_id: str, text: str, window: int, anchor: int, *more: str, bits: int = 64) -> DataFrame:
-    """The texts with the verified places of their repeated windows."""
+def _cut_out(docs: DataFrame, doc_id: str, text: str, window: int, anchor: int, keep: list[str], make: Callable[[bytes | None, list[bytes], np.ndarray], tuple], made: T.StructType, bits: int = 64) -> DataFrame:
+    """The columns ``keep`` of every document with what ``make`` gives for its text, its words and which of them go."""
     if not 1 <= anchor <= window or window - anchor + 1 >= 1 << COUNT_BITS:
         raise ValueError("the anchor must be shorter than the window, by less than 63 words")
-    keyed, bare = _keyed(docs, doc_id, text, *more), _keyed(docs, doc_id, text)
+    keyed, bare = _keyed(docs, doc_id, text, *keep), _keyed(docs, doc_id, text)
+    kinds = [to_arrow_type(f.dataType) for f in made]
+    sets, names = pa.list_(pa.field("element", pa.int64())), [*keep, *made.names, "__sets", "__digests"]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *made, *(T.StructField(c, T.ArrayType(T.LongType())) for c in names[-2:])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for body, listed in zip(_unpacked(batch.column(len(keep))), batch.column(len(keep) + 1)):
+                found, own, groups, digests = words(body), None, [], []
+                if listed.is_valid:
+                    places, groups = listed.values.field("place").to_numpy(), listed.values.field("set").to_pylist()
+                    own, digests = places[places & 1 > 0] >> 1, _seen(found, places, window)
+                rows.append((*make(body, found, removed_words(len(found), own, window)), groups, digests))
+            columns = list(zip(*rows)) or [[]] * (len(kinds) + 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, t) for c, t in zip(columns, [*kinds, sets, sets]))], names)
+
+    def cut_out(places: DataFrame) -> DataFrame:
+        joined = _joined(keyed, places, F.xxhash64("anchor", "code"), "left")
+        return cut(joined.select(*keep, "__text", "__places").mapInArrow(run, schema))
+
     places, known = repeated(bare, window, anchor, bits)
-    joined = cut(_joined(keyed, places, "left"))
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("high", "low") for f in (F.min, F.max)]
-    wrong = cut(_digests(joined, window, False).groupBy("anchor", "code").agg(*ends).where("min_high != max_high OR min_low != max_low").select(F.col("anchor").alias("w_anchor")).distinct())
-    if wrong.isEmpty():
-        return joined
-    del joined
-    on = F.col("anchor") == F.col("w_anchor")
-    doubtful = known.join(wrong, on, "left_semi").select("*", F.lit(0).cast("long").alias("code"), F.lit(True).alias("own"))
-    windows = cut(_digests(_joined(bare, doubtful, "inner"), window, True))
-    same = windows.groupBy(*(F.col(c).alias(f"s_{c}") for c in ("anchor", "high", "low"))).count().where("count > 1").drop("count")
-    true = windows.join(same, (F.col("anchor") == F.col("s_anchor")) & (F.col("high") == F.col("s_high")) & (F.col("low") == F.col("s_low")))
-    true = true.select("doc", F.col("code").alias("place"), "anchor", F.lit(0).cast("long").alias("code"), F.lit(True).alias("own"))
-    return cut(_joined(keyed, places.join(wrong, on, "left_anti").unionByName(true), "left"))
+    done = cut_out(places)
+    seen = done.where(F.size("__sets") > 0).select(F.explode(F.arrays_zip("__sets", "__digests")).alias("x"))
+    ends = seen.groupBy(F.col("x.__sets").alias("w_set")).agg(F.min("x.__digests").alias("low"), F.max("x.__digests").alias("high"))
+    wrong = cut(ends.where("low != high").select("w_set"))
+    if not wrong.isEmpty():
+        anchors = cut(places.join(wrong, F.xxhash64("anchor", "code") == F.col("w_set"), "left_semi").select(F.col("anchor").alias("w_anchor")).distinct())
+        on = F.col("anchor") == F.col("w_anchor")
+        doubtful = known.join(anchors, on, "left_semi").withColumn("own", F.lit(True))
+        windows = cut(_windows(_joined(bare, doubtful, F.col("anchor"), "inner"), window))
+        same = windows.groupBy(*(F.col(c).alias(f"s_{c}") for c in ("anchor", "high", "low"))).count().where("count > 1").drop("count")
+        true = windows.join(same, (F.col("anchor") == F.col("s_anchor")) & (F.col("high") == F.col("s_high")) & (F.col("low") == F.col("s_low")))
+        true = true.select("doc", "place", "anchor", F.lit(0).cast("long").alias("code"), F.lit(True).alias("own"))
+        done = cut_out(places.join(anchors, on, "left_anti").unionByName(true))
+    return done.drop("__sets", "__digests")
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, spans: bool = False, hash_bits: int = 64) -> DataFrame:
@@ -296,26 +318,19 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``docs``, whatever their names, are not read. ``hash_bits`` below 64 are for tests of collisions.
     """
     prepare(docs.sparkSession)
-    joined = _with_places(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", window, anchor, "doc_id", bits=hash_bits)
-    id_type = docs.schema[doc_id].dataType.simpleString()
+    made = T.StructType([T.StructField(c, T.LongType() if t == "long" else T.StringType()) for c, t in OUTPUTS.items()])
+    if spans:
+        made.add("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, places in zip(_unpacked(batch.column(1)), batch.column(2)):
-                found = words(text)
-                gone = removed_words(len(found), own_places(places), window)
-                row = [len(found), int(gone.sum()), hashlib.sha256(b" ".join(compress(found, ~gone))).hexdigest()]
-                if spans:
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                    row.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                rows.append(row)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            columns = list(zip(*rows)) or [[]] * (3 + spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", *OUTPUTS, *["spans"] * spans])
+    def make(body: bytes | None, found: list[bytes], gone: np.ndarray) -> tuple:
+        row = (len(found), int(gone.sum()), hashlib.sha256(b" ".join(compress(found, ~gone))).hexdigest())
+        if not spans:
+            return row
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+        return (*row, [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
 
-    schema = f"doc_id {id_type}, " + ", ".join(f"{c} {t}" for c, t in OUTPUTS.items()) + ", spans array<struct<start:bigint,end:bigint>>" * spans
-    return joined.select("doc_id", "__text", "__places").mapInArrow(run, schema)
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _cut_out(named, "doc_id", "text", window, anchor, ["doc_id"], make, made, hash_bits)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -325,23 +340,21 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     that loses all its words; a null text stays null. Ids may be null, repeated and of any type that can be hashed.
     """
     prepare(docs.sparkSession)
-    joined = _with_places(docs, doc_id, text, window, anchor, *docs.columns)
     names = docs.columns
 
+    def make(body: bytes | None, found: list[bytes], gone: np.ndarray) -> tuple:
+        return (None if body is None else zstandard.ZstdCompressor(level=3).compress(cut_words(body, found, gone)),)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for body, places in zip(_unpacked(batch.column(len(names))), batch.column(len(names) + 1)):
-                if body is not None and places.is_valid:
-                    found = words(body)
-                    body = cut_words(body, found, removed_words(len(found), own_places(places), window))
-                texts.append(body)
-            columns = {c: batch.column(k) for k, c in enumerate(names)}
-            columns[text_name] = pa.array([t if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())
+            columns = dict(zip(names, batch.columns))
+            texts = [None if t is None else t.decode("utf-8", "replace") for t in _unpacked(batch.column(len(names)))]
+            columns[text] = pa.array(texts, pa.string())
             if n_chars in columns:
-                lengths = [None if t is None else len(t.decode("utf-8", "replace")) for t in texts]
-                columns[n_chars] = pa.array(lengths, columns[n_chars].type)
+                columns[n_chars] = pa.array([None if t is None else len(t) for t in texts], columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    text_name = text
-    return joined.select(*names, "__text", "__places").mapInArrow(run, docs.schema)
+    kept = [c for c in names if c != text]
+    done = _cut_out(docs, doc_id, text, window, anchor, kept, make, T.StructType([T.StructField("__packed", T.BinaryType())]))
+    filled = done.withColumn(text, F.lit(None).cast("string")).select(*names, "__packed")
+    return filled.mapInArrow(run, docs.schema)

@@ -54,3 +54,15 @@ def test_many_texts_without_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(docs).collect())
     assert got == Counter({(40, 40): 2000, (40, 0): 2000})
+
+
+def test_columns_of_clashing_names_stay(spark):
+    rng = random.Random(5)
+    passage, alone = prose(rng, 60), prose(rng, 60)
+    names = ["doc", "tag", "anchor", "path", "place", "places", "own", "set", "code", "n_words"]
+    rows = [(i, t, *([i] * len(names))) for i, t in enumerate([passage, alone, f"{passage} more", None])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` long" for n in names)]))
+    made = substrings.without_repeats(df)
+    got = {r["doc_id"]: tuple(r) for r in made.collect()}
+    assert made.columns == df.columns and got[1] == rows[1] and got[3] == rows[3]
+    assert (got[0][1], got[2][1]) == ("", "more") and got[0][2:] == rows[0][2:]
