@@ -1,15 +1,16 @@
 """Quality rules: base counts of a text, and the log-likelihood ratio of its hashed n-grams.
 
-Byte n-grams are hashed into 2**16 buckets. A pass over all documents counts them twice: of all documents (the raw
-corpus), and of the trusted ones. The two multinomials, smoothed alike at the size of the trusted texts, give a log ratio a
-bucket; a document's score is the mean of the ratios of its n-grams, and it is kept if the score reaches a threshold. The tables have a fixed size whatever the
-corpus, so they are the only thing that is sent around; texts are read twice and never shuffled.
+Byte n-grams are hashed into 2**16 buckets and counted in all documents (the raw corpus) and in all trusted ones. The two
+multinomials, smoothed alike at the size of the trusted texts, give a log ratio a bucket; a document's score is the mean of
+the ratios of its n-grams, and it is kept if the score reaches a threshold. The tables have a fixed size whatever the corpus.
+The trusted ids may be any number: they are never broadcast, but meet the texts, compressed, in a join; texts are read
+three times and shuffled once.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -17,17 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import prepare, words
+from rowloom.llm.common import packed, prepare, unpacked, words
 
 #: Lengths of the hashed n-grams, in bytes.
 ORDERS = (2, 3)
 BUCKETS = 1 << 16
+PARTS = 64
 #: Added to each bucket's count in the trusted texts, and to the count that the raw corpus would have at their size.
 SMOOTHING = 0.5
 #: Clean texts score about 0 however much of the corpus is clean; it takes a share of n-grams foreign to the trusted texts to get here.
 THRESHOLD = -0.2
-#: Documents that the trusted multinomial is fitted on, at most: those of least hash. It bounds the broadcast of ids.
-MAX_TRUSTED = 20_000
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
@@ -82,33 +82,53 @@ def _text(value: pa.Scalar) -> bytes:
     return value.as_py() or b""
 
 
-def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Log ratios of the buckets: of the trusted documents (column doc_id) to all documents."""
-    prepare(docs.sparkSession)
-    listed = trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted IS NOT NULL").distinct()
-    listed = F.broadcast(listed.orderBy(F.xxhash64("__trusted"), "__trusted").limit(MAX_TRUSTED))
-    marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__text")).join(listed, F.col("__id") == F.col("__trusted"), "left")
+def _counted(texts: DataFrame, read: Callable[[pa.Array], Iterable[bytes | None]]) -> np.ndarray:
+    """How often each bucket occurs in the texts, the only column. Every task sends its counts in PARTS dense rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts, waiting, size = np.zeros(BUCKETS, np.int64), [np.zeros(0, np.uint32)], 0
         for batch in batches:
-            for value, trusted in zip(batch.column(0), batch.column(1).to_pylist()):
-                for bucket in grams(_text(value)):
-                    found = np.bincount(bucket, minlength=BUCKETS)
-                    counts[0] += found
-                    if trusted:
-                        counts[1] += found
-        at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "raw", "trusted"])
-
-    counted = marked.select("__text", F.col("__trusted").isNotNull()).mapInArrow(run, "bucket long, raw long, trusted long")
-    total = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
-    table = np.zeros((2, BUCKETS))
-    table[0, total["bucket"]], table[1, total["bucket"]] = total["raw"], total["trusted"]
-    if not table[1].any():
+            for body in read(batch.column(0)):
+                for bucket in grams(body or b""):
+                    waiting.append(bucket)
+                    size += len(bucket)
+                    if size >= STEP:
+                        counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                        waiting, size = waiting[:1], 0
+        counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+        if counts.any():
+            yield rows(enumerate(counts.reshape(PARTS, -1)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[part] = sums.get(part, 0) + counts.values.to_numpy()
+        if sums:
+            yield rows(sums.items())
+
+    def rows(found: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        parts, counts = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(counts, pa.list_(pa.field("element", pa.int64())))], ["part", "counts"])
+
+    schema, table = "part int, counts array<long>", np.zeros((PARTS, BUCKETS // PARTS))
+    for part, counts in texts.mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).collect():
+        table[part] += counts
+    return table.ravel()
+
+
+def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Log ratios of the buckets: of all trusted documents (column doc_id) to all documents."""
+    prepare(docs.sparkSession)
+    bodies = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__text"))
+    listed = trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted IS NOT NULL").distinct()
+    chosen = packed(bodies.where("__id IS NOT NULL")).join(listed.hint("merge"), F.col("__id") == F.col("__trusted"), "left_semi")
+    raw = _counted(bodies.select("__text"), lambda column: map(_text, column))
+    good = _counted(chosen.select("__text"), unpacked)
+    if not good.any():
         return np.zeros(BUCKETS)
-    expected = table[0] * (table[1].sum() / table[0].sum())
-    return np.log((table[1] + SMOOTHING) / (expected + SMOOTHING))
+    expected = raw * (good.sum() / raw.sum())
+    return np.log((good + SMOOTHING) / (expected + SMOOTHING))
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, only_kept: bool = False) -> DataFrame:

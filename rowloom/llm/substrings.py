@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rowloom.llm.common import cut, prepare, words
+from rowloom.llm.common import cut, packed, prepare, unpacked, words
 
 WINDOW = 35
 ANCHOR = 8
@@ -117,26 +117,6 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
     return docs.select(*more, key.alias("__doc"), _tag(body).alias("__tag"), body.alias("__text"))
 
 
-def _packed(keyed: DataFrame) -> DataFrame:
-    """The same with each text compressed, since it is about to be shuffled."""
-    names = keyed.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            texts = pa.array([None if t is None else pack(t) for t in batch.column(len(names) - 1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names)
-
-    return keyed.mapInArrow(run, keyed.schema)
-
-
-def _unpacked(column: pa.Array) -> Iterator[bytes | None]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    for value in column:
-        packed = value.as_py()
-        yield None if packed is None else unpack(packed)
-
-
 def _paths_of(keyed: DataFrame, k: int, m: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, powers = WordHashes(), Powers()
@@ -162,7 +142,7 @@ def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int, bits: int) ->
         table, powers = WordHashes(), Powers()
         for batch in batches:
             parts = []
-            for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), batch.column(3)):
+            for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), unpacked(batch.column(2)), batch.column(3)):
                 found = words(text)
                 seq = Sequence(table.of(found), powers, bits)
                 places = places.values.to_numpy()
@@ -175,7 +155,7 @@ def _edges_of(keyed: DataFrame, chosen: DataFrame, k: int, m: int, bits: int) ->
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["anchor", "edge", "doc", "place", "single"])
 
-    joined = _packed(keyed).join(listed, (F.col("__doc") == F.col("c_doc")) & (F.col("__tag") == F.col("c_tag")))
+    joined = packed(keyed).join(listed, (F.col("__doc") == F.col("c_doc")) & (F.col("__tag") == F.col("c_tag")))
     return joined.select("__doc", "__tag", "__text", "places").mapInArrow(run, "anchor long, edge long, doc long, place long, single boolean")
 
 
@@ -209,7 +189,7 @@ def _windows(joined: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, tag, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), batch.column(3).to_pylist()):
+            for doc, tag, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), unpacked(batch.column(2)), batch.column(3).to_pylist()):
                 found = words(text)
                 for p in listed:
                     first = p["place"] >> (COUNT_BITS + 1)
@@ -226,7 +206,7 @@ def _joined(keyed: DataFrame, places: DataFrame, group: Column, how: str) -> Dat
     """The texts, compressed, with their places: start << 7 | windows << 1 | own, and the group of each."""
     one = F.struct((F.shiftright("place", TAG_BITS) * 2 + F.col("own").cast("long")).alias("place"), group.alias("set"))
     listed = places.groupBy(F.col("doc").alias("p_doc"), F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("p_tag")).agg(F.collect_set(one).alias("__places"))
-    return _packed(keyed).join(listed, (F.col("__doc") == F.col("p_doc")) & (F.col("__tag") == F.col("p_tag")), how).drop("p_doc", "p_tag")
+    return packed(keyed).join(listed, (F.col("__doc") == F.col("p_doc")) & (F.col("__tag") == F.col("p_tag")), how).drop("p_doc", "p_tag")
 
 
 def _seen(found: list[bytes], places: np.ndarray, k: int) -> list[int]:
@@ -277,7 +257,7 @@ def _cut_out(docs: DataFrame, doc_id: str, text: str, window: int, anchor: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for body, listed in zip(_unpacked(batch.column(len(keep))), batch.column(len(keep) + 1)):
+            for body, listed in zip(unpacked(batch.column(len(keep))), batch.column(len(keep) + 1)):
                 found, own, groups, digests = words(body), None, [], []
                 if listed.is_valid:
                     places, groups = listed.values.field("place").to_numpy(), listed.values.field("set").to_pylist()
@@ -348,7 +328,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(names, batch.columns))
-            texts = [None if t is None else t.decode("utf-8", "replace") for t in _unpacked(batch.column(len(names)))]
+            texts = [None if t is None else t.decode("utf-8", "replace") for t in unpacked(batch.column(len(names)))]
             columns[text] = pa.array(texts, pa.string())
             if n_chars in columns:
                 columns[n_chars] = pa.array([None if t is None else len(t) for t in texts], columns[n_chars].type)

@@ -127,6 +127,17 @@ def test_rules_equal_brute_force(spark, docs, clashing, empty):
     assert all(r["llr"] == 0 and r["kept"] == (not r["base_failed"]) for r in nothing)
 
 
+def test_all_trusted_documents_count(spark):
+    docs = spark.range(20_500, numPartitions=4).selectExpr("id AS doc_id", "substr(sha2(string(id), 256), 1, 12) AS text")
+    assert np.abs(rules.fit(docs, docs)).max() < 1e-9
+    half = docs.where("doc_id >= 500")
+    raw, good = (Counter(k for t in df.toPandas()["text"] for b in rules.grams(t.encode()) for k in b.tolist()) for df in (docs, half))
+    want, share = np.zeros(rules.BUCKETS), sum(good.values()) / sum(raw.values())
+    for k in raw:
+        want[k] = np.log((good[k] + rules.SMOOTHING) / (raw[k] * share + rules.SMOOTHING))
+    assert np.abs(rules.fit(docs, half) - want).max() < 1e-9
+
+
 def test_only_kept_documents_pass(docs, clashing):
     kept = rules.judge(clashing, np.zeros(rules.BUCKETS), keep=tuple(clashing.columns), only_kept=True)
     assert kept.columns == clashing.columns
