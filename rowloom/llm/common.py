@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are maximal runs of anything but these: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which the shuffle files of a query go when it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Least time between two runs of the garbage collectors.
 RELEASE_SECONDS = 3.0
 _released = 0.0
@@ -42,8 +44,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: short lineage that outlives executors."""
+    """Write ``df`` to the shared checkpoint folder and read it from there: short lineage that outlives executors.
+
+    The shuffle files that it took are deleted as soon as it is written, whenever the garbage collectors run.
+    """
     spark = prepare(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df = df.select("*")  # a frame keeps the setting that it was made under
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     written = df.checkpoint(eager=True)
     del df
     release(spark)
